@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import mixing as p8
+from lodestone.llm import packing as p7
 from lodestone.llm import percentiles as p2
+from lodestone.llm import splitting as p9
 from lodestone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,8 +17,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_percentiles": lambda s, d: p2.percentiles(
         p2.latency_counts(table(s, d, "pheromone_update"), table(s, d, "benchmark_result")), ["grp_kind", "grp_key"], [50.0, 90.0, 95.0, 99.0]
     ),
+    "p7_found": lambda s, d: p7.found(table(s, d, "documents"), table(s, d, "container_plan")),
+    "p7_places": lambda s, d: p7.documents(table(s, d, "documents"), table(s, d, "container_plan")),
+    "p7_fill": lambda s, d: p7.fill(table(s, d, "documents"), table(s, d, "container_plan")),
+    "p8_found": lambda s, d: p8.found(table(s, d, "documents"), table(s, d, "mix_target")),
+    "p8_shares": lambda s, d: p8.shares(table(s, d, "documents"), table(s, d, "mix_target")),
+    "p8_documents": lambda s, d: p8.mixed(table(s, d, "documents"), table(s, d, "mix_target")),
+    "p9_found": lambda s, d: p9.found(table(s, d, "documents")),
+    "p9_pieces": lambda s, d: p9.split(table(s, d, "documents").select("doc_id", "text"), "text").drop("text"),
 }
 
+_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]+'))"
+
 _READINGS = """
     SELECT DISTINCT 'agent' AS grp_kind, agent_id AS grp_key, update_id AS id, latency_ms AS v FROM pheromone_update
     WHERE agent_id IS NOT NULL AND latency_ms >= 0 AND isfinite(latency_ms)
@@ -37,4 +50,19 @@ ORACLE: dict[str, str] = {
     SELECT grp_kind, grp_key, p::DOUBLE AS percent, v AS value, n AS n_values
     FROM k, (VALUES (50), (90), (95), (99)) t(p) WHERE i = (p * n + 99) // 100
     """,
+    "p7_found": f"""
+    SELECT doc_id FROM documents JOIN (SELECT lane, max(capacity_tokens) AS cap FROM container_plan GROUP BY lane) USING (lane) WHERE {_SIZE} > cap
+    """,
+    "p8_found": f"""
+    WITH sizes AS (SELECT lower(trim(source)) AS src, {_SIZE} AS size FROM documents),
+    total AS (SELECT sum(size) AS all_tokens FROM sizes),
+    tokens AS (SELECT src, sum(size) AS tokens FROM sizes GROUP BY src),
+    rows AS (SELECT *, weight / sum(weight) OVER (PARTITION BY mix_id) * budget_ratio * all_tokens AS target FROM mix_target, total WHERE weight > 0)
+    SELECT mix_id, source FROM rows LEFT JOIN tokens ON src = lower(trim(source)) WHERE target > max_repeats * coalesce(tokens, 0)
+    """,
+    "p9_found": rf"""
+    WITH d AS (SELECT doc_id, text FROM documents WHERE {_SIZE} > 800),
+    stretch AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS text FROM d)
+    SELECT doc_id, CASE WHEN max({_SIZE}) > 800 THEN 'hard' ELSE 'soft' END AS cut_kind FROM stretch GROUP BY doc_id
+    """,
 }
