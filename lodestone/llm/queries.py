@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import handwritten as p5
 from lodestone.llm import mixing as p8
 from lodestone.llm import packing as p7
 from lodestone.llm import percentiles as p2
 from lodestone.llm import splitting as p9
+from lodestone.llm import syntax as p6
 from lodestone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_percentiles": lambda s, d: p2.percentiles(
         p2.latency_counts(table(s, d, "pheromone_update"), table(s, d, "benchmark_result")), ["grp_kind", "grp_key"], [50.0, 90.0, 95.0, 99.0]
     ),
+    "p5_found": lambda s, d: p5.found(table(s, d, "parse_result"), table(s, d, "lang_ext")),
+    "p5_origins": lambda s, d: p5.by_repo(table(s, d, "parse_result"), table(s, d, "lang_ext")),
+    "p6_found": lambda s, d: p6.found(table(s, d, "parse_result"), table(s, d, "lang_ext")),
+    "p6_rates": lambda s, d: p6.rates(table(s, d, "parse_result"), table(s, d, "lang_ext")),
     "p7_found": lambda s, d: p7.found(table(s, d, "documents"), table(s, d, "container_plan")),
     "p7_places": lambda s, d: p7.documents(table(s, d, "documents"), table(s, d, "container_plan")),
     "p7_fill": lambda s, d: p7.fill(table(s, d, "documents"), table(s, d, "container_plan")),
