@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,20 @@ def drop_staged(df: DataFrame) -> None:
     files = df.inputFiles()
     if files:
         _remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent.parent
+    to = pathlib.Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(to))  # the driver serves it to every executor
+    _shipped.add(app)
