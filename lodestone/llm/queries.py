@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import handwritten as p5
 from lodestone.llm import mixing as p8
+from lodestone.llm import neighbours as p3
 from lodestone.llm import packing as p7
 from lodestone.llm import percentiles as p2
 from lodestone.llm import splitting as p9
@@ -19,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_percentiles": lambda s, d: p2.percentiles(
         p2.latency_counts(table(s, d, "pheromone_update"), table(s, d, "benchmark_result")), ["grp_kind", "grp_key"], [50.0, 90.0, 95.0, 99.0]
     ),
+    "p3_found": lambda s, d: p3.found(table(s, d, "memory_entry"), table(s, d, "search_query")),
+    "p3_neighbours": lambda s, d: p3.memory(table(s, d, "memory_entry"), table(s, d, "search_query"), p3.LISTED),
     "p5_found": lambda s, d: p5.found(table(s, d, "parse_result"), table(s, d, "lang_ext")),
     "p5_origins": lambda s, d: p5.by_repo(table(s, d, "parse_result"), table(s, d, "lang_ext")),
     "p6_found": lambda s, d: p6.found(table(s, d, "parse_result"), table(s, d, "lang_ext")),
