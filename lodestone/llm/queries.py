@@ -11,11 +11,15 @@ from lodestone.llm import mixing as p8
 from lodestone.llm import neighbours as p3
 from lodestone.llm import packing as p7
 from lodestone.llm import percentiles as p2
+from lodestone.llm import spans as p1
 from lodestone.llm import splitting as p9
 from lodestone.llm import syntax as p6
 from lodestone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": lambda s, d: p1.found(table(s, d, "memory_entry"), table(s, d, "pr_file")),
+    "p1_shares": lambda s, d: p1.shares(table(s, d, "memory_entry"), table(s, d, "pr_file")),
+    "p1_sentence_runs": lambda s, d: p1.sentence_runs(table(s, d, "memory_entry"), table(s, d, "pr_file")),
     "p2_found": lambda s, d: p2.found(table(s, d, "pheromone_update"), table(s, d, "benchmark_result")),
     "p2_percentiles": lambda s, d: p2.percentiles(
         p2.latency_counts(table(s, d, "pheromone_update"), table(s, d, "benchmark_result")), ["grp_kind", "grp_key"], [50.0, 90.0, 95.0, 99.0]
