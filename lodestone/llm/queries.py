@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import credentials as p4
 from lodestone.llm import handwritten as p5
 from lodestone.llm import mixing as p8
 from lodestone.llm import neighbours as p3
@@ -26,6 +27,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "p3_found": lambda s, d: p3.found(table(s, d, "memory_entry"), table(s, d, "search_query")),
     "p3_neighbours": lambda s, d: p3.memory(table(s, d, "memory_entry"), table(s, d, "search_query"), p3.LISTED),
+    "p4_found": lambda s, d: p4.found(table(s, d, "pr_file")),
+    "p4_findings": lambda s, d: p4.report(table(s, d, "pr_file")),
+    "p4_masked": lambda s, d: p4.redact(table(s, d, "pr_file")),
     "p5_found": lambda s, d: p5.found(table(s, d, "parse_result"), table(s, d, "lang_ext")),
     "p5_origins": lambda s, d: p5.by_repo(table(s, d, "parse_result"), table(s, d, "lang_ext")),
     "p6_found": lambda s, d: p6.found(table(s, d, "parse_result"), table(s, d, "lang_ext")),
