@@ -166,6 +166,13 @@ class Finder:
             if b > a and not any(x < b and a < y for _, x, y in found):
                 found.append((kind, a, b))
 
+        if JOINT.search(line):  # a literal put together from parts
+            joined = JOINT.sub("", line)
+            for m in QUOTED.finditer(joined):
+                if self.live(m[3], name_kind(m[1])) or KNOWN.search(m[3]):
+                    parts = [p.span(2) for p in re.finditer(r"([\"'`])(.*?)\1", line) if p[2] and p[2] in m[3]]
+                    for a, b in parts:
+                        add("assignment", a, b)
         for m in KNOWN.finditer(line):
             if self.seg.residual(m[1]) >= 10 and not PLACEHOLDER.match(m[1]):
                 add("token", *m.span(1))
@@ -177,13 +184,6 @@ class Finder:
             for m in pattern.finditer(line):
                 if self.live(m[3], name_kind(m[1])):
                     add("assignment", *m.span(3))
-        if not found and JOINT.search(line):  # a literal put together from parts
-            joined = JOINT.sub("", line)
-            for m in QUOTED.finditer(joined):
-                if self.live(m[3], name_kind(m[1])) or KNOWN.search(m[3]):
-                    parts = [p.span(2) for p in re.finditer(r"([\"'`])(.*?)\1", line) if p[2] and p[2] in m[3]]
-                    for a, b in parts:
-                        add("assignment", a, b)
         for m in BARE.finditer(line):
             if m[2][:1] not in "\"'`" and self.live(m[2], name_kind(m[1])):
                 add("assignment", *m.span(2))

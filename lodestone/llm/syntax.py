@@ -25,12 +25,13 @@ from lodestone.llm.handwritten import latest, with_language
 class Lang:
     """A node of a language's graph. Nodes are shared, so a derivative is taken once per node and token."""
 
-    __slots__ = ("kind", "a", "b", "memo", "null")
+    __slots__ = ("kind", "a", "b", "memo", "null", "some")
 
     def __init__(self, kind: str, a=None, b=None):
         self.kind, self.a, self.b = kind, a, b
         self.memo: dict[str, Lang] = {}
         self.null: bool | None = None
+        self.some: bool | None = None
 
 
 EMPTY, EPS = Lang("empty"), Lang("eps")
@@ -75,31 +76,42 @@ def rep(p: Lang) -> Lang:
     return x
 
 
-def nullable(lang: Lang) -> bool:
-    """Least fixed point over the nodes that are reachable."""
-    if lang.null is not None:
-        return lang.null
-    nodes, todo = [], [lang]
-    seen = set()
+def _fixed(lang: Lang, slot: str, base: tuple[str, ...]) -> bool:
+    """The least fixed point, over the nodes that can be reached, of a property that holds for ``base`` kinds, for an
+    alternative if for one part, and for a sequence if for both. Known values are kept in the nodes."""
+    known = getattr(lang, slot)
+    if known is not None:
+        return known
+    nodes: dict[int, Lang] = {}
+    todo = [lang]
     while todo:
         n = todo.pop()
-        if id(n) in seen:
-            continue
-        seen.add(id(n))
-        nodes.append(n)
-        todo += [x for x in (n.a, n.b) if isinstance(x, Lang)]
-    value = {id(n): bool(n.null) or n.kind == "eps" for n in nodes}
+        if id(n) not in nodes:
+            nodes[id(n)] = n
+            if getattr(n, slot) is None:
+                todo += [x for x in (n.a, n.b) if isinstance(x, Lang)]
+    value = {i: bool(getattr(n, slot)) or n.kind in base for i, n in nodes.items()}
     changed = True
     while changed:
         changed = False
-        for n in nodes:
-            if not value[id(n)]:
-                now = {"alt": lambda n=n: value[id(n.a)] or value[id(n.b)], "cat": lambda n=n: value[id(n.a)] and value[id(n.b)], "ref": lambda n=n: value[id(n.a)]}.get(n.kind, lambda: False)()
-                if now:
-                    value[id(n)] = changed = True
-    for n in nodes:
-        n.null = value[id(n)]
-    return lang.null
+        for i, n in nodes.items():
+            if not value[i] and getattr(n, slot) is None and n.kind in ("alt", "cat", "ref"):
+                parts = [value[id(x)] for x in (n.a, n.b) if x is not None]
+                if all(parts) if n.kind == "cat" else any(parts):
+                    value[i] = changed = True
+    for i, n in nodes.items():
+        setattr(n, slot, value[i])
+    return value[id(lang)]
+
+
+def nullable(lang: Lang) -> bool:
+    """Whether the empty stream belongs to the language."""
+    return _fixed(lang, "null", ("eps",))
+
+
+def possible(lang: Lang) -> bool:
+    """Whether any stream belongs to the language."""
+    return _fixed(lang, "some", ("eps", "tok"))
 
 
 def derive(lang: Lang, token: str) -> Lang:
@@ -129,7 +141,7 @@ def parse(lang: Lang, tokens: list[str]) -> tuple[str, int]:
     """('accepted' | 'failed' | 'truncated', number of tokens taken)."""
     for i, t in enumerate(tokens):
         lang = derive(lang, t)
-        if lang is EMPTY:
+        if not possible(lang):
             return "failed", i
     return ("accepted" if nullable(lang) else "truncated"), len(tokens)
 
@@ -201,7 +213,7 @@ def _grammar() -> Lang:
     not_closed = cat(thing, opt(tok("BE")), alt(cat(tok("NOT"), tok("SIDE", "W")), tok("FAULT")))
     core = alt(fault, faulty, missing, expected, cannot, error, syntax, premature, not_a, conflict, not_closed)
     tail = alt(EPS, cat(tok("P", "PLACE", "BUT", "Q", "N", "EXPECTED", "UNIT", "END"), rest))
-    prefix = cat(rep(tok("W", "N", "P", "UNIT", "Q", "ERROR", "SYNTAX", "PLACE")), tok("P"))  # file:12:3: error:
+    prefix = cat(rep(tok("W", "N", "P", "ART", "UNIT", "Q", "ERROR", "SYNTAX", "PLACE")), tok("P"))  # file:12:3: error:
     return alt(cat(core, tail), cat(prefix, core, tail))
 
 
