@@ -140,8 +140,8 @@ def lru(access: DataFrame, order: str, op: str, key: str, capacity: int) -> list
 
 def majority(votes: DataFrame, proposal: str, voter: str, order: list[str], vote: str, n_voters: int) -> DataFrame:
     """(proposal, yes, no, accepted, rejected): the last vote of each voter that is not null counts; a side wins with more than half of all voters."""
-    last = votes.where(F.col(vote).isNotNull()).groupBy(proposal, voter).agg(F.max_by(vote, F.struct(*order)).alias("v"))
-    sums = last.groupBy(proposal).agg(F.count_if(F.col("v")).alias("yes"), F.count_if(~F.col("v")).alias("no"))
+    last = votes.where(F.col(vote).isNotNull()).groupBy(proposal, voter).agg(F.max_by(vote, F.struct(*order)).alias("__vote"))
+    sums = last.groupBy(proposal).agg(F.count_if(F.col("__vote")).alias("yes"), F.count_if(~F.col("__vote")).alias("no"))
     return sums.select(proposal, "yes", "no", (F.col("yes") > n_voters / 2).alias("accepted"), (F.col("no") > n_voters / 2).alias("rejected"))
 
 

@@ -133,10 +133,10 @@ def index_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, f
 
     Works on counts per value, so a hot group costs its distinct values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(group)
-    upto = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    runs = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(w))
-    at = {name: F.least(F.floor(F.col("n") * s), F.col("n") - 1) for name, s in shares.items()}
-    picks = [F.min(F.when(F.col("upto") > p, F.col("v"))).alias(name) for name, p in at.items()]
-    return runs.groupBy(group).agg(F.max("n").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), *picks)
+    upto = F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    runs = counts.withColumn("__upto", upto).withColumn("__n", F.sum("__c").over(w))
+    at = {name: F.least(F.floor(F.col("__n") * s), F.col("__n") - 1) for name, s in shares.items()}
+    picks = [F.min(F.when(F.col("__upto") > p, F.col("__v"))).alias(name) for name, p in at.items()]
+    return runs.groupBy(group).agg(F.max("__n").alias("n"), (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("mean"), *picks)

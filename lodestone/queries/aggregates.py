@@ -12,10 +12,10 @@ from lodestone.queries.base import FILES, MEMORY, UPDATES, Tables, query, r6
 # -- aggregations ------------------------------------------------------------------------------------
 
 
-@query("agg_file_means", f"WITH {FILES} SELECT repo, count(*) AS n, round(avg(metrics.cyclomatic_complexity), 6) AS cc, round(avg(metrics.cognitive_complexity), 6) AS cognitive, round(avg(metrics.maintainability_index), 6) AS mi FROM files GROUP BY 1")
+@query("agg_file_means", f"WITH {FILES} SELECT repo, count(*) AS n, round(avg(metrics.cyclomatic_complexity), 6) AS cc, round(avg(metrics.cognitive_complexity), 6) AS cognitive, round(sum(metrics.maintainability_index), 3) AS mi_sum FROM files GROUP BY 1")
 def _means(t: Tables):
     avg = lambda c: r6(F.avg(f"metrics.{c}"))
-    return t.files.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), avg("cyclomatic_complexity").alias("cc"), avg("cognitive_complexity").alias("cognitive"), avg("maintainability_index").alias("mi"))
+    return t.files.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), avg("cyclomatic_complexity").alias("cc"), avg("cognitive_complexity").alias("cognitive"), F.round(F.sum("metrics.maintainability_index"), 3).alias("mi_sum"))
 
 
 @query("agg_async_ratio", f"WITH {FILES} SELECT repo, round(avg(CASE WHEN len(list_filter(imports, lambda i: contains(i.source, 'async'))) > 0 THEN 1.0 ELSE 0.0 END), 6) AS ratio, sum(n_functions)::BIGINT AS functions FROM files GROUP BY 1")

@@ -25,10 +25,10 @@ def _scores(t: Tables):
     return quality.file_scores(t.files).withColumn("maintainability", r6("maintainability"))
 
 
-@query("agg_overall", f"WITH {_SCORES} SELECT repo, round(avg(maintainability), 4) AS maintainability, round(avg(scalability), 4) AS scalability, round(avg(performance), 4) AS performance, count(*) AS n FROM scores GROUP BY 1")
+@query("agg_overall", f"WITH {_SCORES} SELECT repo, round(sum(maintainability), 4) AS maintainability, round(avg(scalability), 4) AS scalability, round(avg(performance), 4) AS performance, count(*) AS n FROM scores GROUP BY 1")
 def _overall(t: Tables):
     avg = lambda c: F.round(F.avg(c), 4).alias(c)
-    return quality.file_scores(t.files).groupBy("repo").agg(avg("maintainability"), avg("scalability"), avg("performance"), F.count(F.lit(1)).alias("n"))
+    return quality.file_scores(t.files).groupBy("repo").agg(F.round(F.sum("maintainability"), 4).alias("maintainability"), avg("scalability"), avg("performance"), F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_weighted", f"WITH {_SCORES} SELECT s.repo, floor(sum(total * loc) / sum(loc) + 0.5)::BIGINT AS score FROM scores s JOIN (SELECT repo, file, metrics.lines_of_code AS loc FROM files WHERE metrics IS NOT NULL) f ON f.repo = s.repo AND f.file = s.file GROUP BY 1")
@@ -38,12 +38,12 @@ def _weighted(t: Tables):
     return quality.weighted(both.withColumn("score", F.col("total")), ["repo"])
 
 
-@query("num_factors", f"""WITH {FILES}, a AS (SELECT repo, avg(metrics.cyclomatic_complexity) AS cc, avg(metrics.cognitive_complexity) AS cog, avg(metrics.maintainability_index) AS mi FROM files GROUP BY 1),
-    f AS (SELECT repo, 'cyclomatic' AS factor, greatest(0, 100 - cc * 5) AS score FROM a UNION ALL SELECT repo, 'cognitive', greatest(0, 100 - cog * 3) FROM a UNION ALL SELECT repo, 'index', mi FROM a) SELECT repo, factor, round(score, 6) AS score FROM f""")
+@query("num_factors", f"""WITH {FILES}, a AS (SELECT repo, avg(metrics.cyclomatic_complexity) AS cc, avg(metrics.cognitive_complexity) AS cog, avg(metrics.nesting_depth) AS nest FROM files GROUP BY 1),
+    f AS (SELECT repo, 'cyclomatic' AS factor, greatest(0, 100 - cc * 5) AS score FROM a UNION ALL SELECT repo, 'cognitive', greatest(0, 100 - cog * 3) FROM a UNION ALL SELECT repo, 'nesting', greatest(0, 100 - nest * 5) FROM a) SELECT repo, factor, round(score, 6) AS score FROM f""")
 def _factors(t: Tables):
     avg = lambda c: F.avg(f"metrics.{c}")
-    a = t.files.groupBy("repo").agg(F.greatest(F.lit(0.0), 100 - avg("cyclomatic_complexity") * 5).alias("cyclomatic"), F.greatest(F.lit(0.0), 100 - avg("cognitive_complexity") * 3).alias("cognitive"), avg("maintainability_index").alias("index"))
-    return a.unpivot("repo", ["cyclomatic", "cognitive", "index"], "factor", "score").withColumn("score", r6("score"))
+    a = t.files.groupBy("repo").agg(F.greatest(F.lit(0.0), 100 - avg("cyclomatic_complexity") * 5).alias("cyclomatic"), F.greatest(F.lit(0.0), 100 - avg("cognitive_complexity") * 3).alias("cognitive"), F.greatest(F.lit(0.0), 100 - avg("nesting_depth") * 5).alias("nesting"))
+    return a.unpivot("repo", ["cyclomatic", "cognitive", "nesting"], "factor", "score").withColumn("score", r6("score"))
 
 
 @query("rnk_worst_dim", f"WITH {_SCORES} SELECT repo, file, CASE least(maintainability, performance, scalability, security) WHEN maintainability THEN 'maintainability' WHEN performance THEN 'performance' WHEN scalability THEN 'scalability' ELSE 'security' END AS dimension FROM scores")
