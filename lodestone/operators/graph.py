@@ -96,8 +96,9 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def degree_coupling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges per node, 1 at most; 0 without nodes."""
-    e, n = edges.agg(F.count(F.lit(1)).alias("edges")), nodes.agg(F.count(F.lit(1)).alias("nodes"))
-    return e.crossJoin(n).select("edges", "nodes", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("edges").cast("double"), "nodes"), F.lit(0.0))).alias("coupling"))
+    both = edges.select(F.lit(1).alias("e"), F.lit(0).alias("n")).unionAll(nodes.select(F.lit(0), F.lit(1)))
+    sums = both.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("edges"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"))
+    return sums.select("edges", "nodes", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("edges").cast("double"), "nodes"), F.lit(0.0))).alias("coupling"))
 
 
 __all__ = ["closure", "degree_coupling", "drop_staged", "import_edges", "layers", "on_cycles", "resolve_path", "reverse", "short_cycles", "stem"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import extension
@@ -79,7 +81,7 @@ def _export(t: Tables):
 @query("src_index_io", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def _io(t: Tables):
     """Vectors written by label and read back with partition pruning at hand."""
-    path = f"{shared_dir(t.spark)}/lodestone/vector-store"
+    path = f"{shared_dir(t.spark)}/lodestone/vectors-{uuid.uuid4().hex}"
     store.write_partitioned(t.embeddings, path, "label")
     return t.spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -134,8 +136,8 @@ def _pre(t: Tables):
 
 @query("flt_stuck", "SELECT agent_id FROM agent_pheromone WHERE eligible AND last_updated < (SELECT max(last_updated) FROM agent_pheromone) - INTERVAL 30 DAY")
 def _stuck(t: Tables):
-    last = t.agent_pheromone.agg(F.max("last_updated").alias("now"))
-    return t.agent_pheromone.where("eligible").join(F.broadcast(last), F.col("last_updated") < F.col("now") - F.expr("INTERVAL 30 DAYS")).select("agent_id")
+    now = t.agent_pheromone.agg(F.max("last_updated")).scalar()
+    return t.agent_pheromone.where(F.col("eligible") & (F.col("last_updated") < now - F.expr("INTERVAL 30 DAYS"))).select("agent_id")
 
 
 @query("flt_low_stock", "SELECT p_partkey, p_size FROM part WHERE p_size < 10")

@@ -95,7 +95,8 @@ def _pq4(t: Tables):
 @query("vec_compression", "SELECT level, bits, factor, dim * bits / 8 AS bytes FROM (VALUES ('none', 32, 1), ('pq8', 8, 4), ('pq4', 4, 8), ('binary', 1, 32), ('rabitq', 1, 32)) l(level, bits, factor), (SELECT max(len(embedding)) AS dim FROM embeddings)")
 def _compression(t: Tables):
     levels = t.spark.createDataFrame([(k, *x) for k, x in v.LEVELS.items()], "level string, bits int, factor int")
-    return levels.crossJoin(t.embeddings.agg(F.max(F.size("embedding")).alias("dim"))).select("level", "bits", "factor", (F.col("dim") * F.col("bits") / 8).alias("bytes"))
+    dim = t.embeddings.agg(F.max(F.size("embedding"))).scalar()
+    return levels.select("level", "bits", "factor", (dim * F.col("bits") / 8).alias("bytes"))
 
 
 _WRAP = "((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"
@@ -128,8 +129,9 @@ def _relevance(t: Tables):
     FROM embeddings, (SELECT embedding::DOUBLE[] AS c0 FROM embeddings WHERE vec_id = 0), (SELECT embedding::DOUBLE[] AS c1 FROM embeddings WHERE vec_id = 1)""",
 )
 def _maxsim(t: Tables):
-    chosen = t.embeddings.where("vec_id < 2").agg(F.collect_list("embedding").alias("chosen"))
-    return t.embeddings.crossJoin(F.broadcast(chosen)).select("vec_id", r6(v.max_similarity(F.col("embedding"), F.col("chosen"))).alias("sim"))
+    chosen = t.embeddings.where("vec_id < 2").agg(F.collect_list("embedding")).scalar()
+    both = t.embeddings.select("vec_id", "embedding", chosen.alias("chosen"))
+    return both.select("vec_id", r6(v.max_similarity(F.col("embedding"), F.col("chosen"))).alias("sim"))
 
 
 @query("vec_centroids", "SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS x0, round(avg(embedding[64]::DOUBLE), 6) AS x63 FROM embeddings GROUP BY 1")
