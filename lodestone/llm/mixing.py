@@ -43,14 +43,14 @@ class Mix:
         self.sized = stage(sized, "mix-sizes")
         hist = self.sized.groupBy("src", "size").agg(F.count(F.lit(1)).alias("n"))
         self.hist = stage(hist, "mix-frequencies", files=max(1, min(8, spark.sparkContext.defaultParallelism)))
-        total = self.hist.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).cast("double").alias("total"))
+        total = self.hist.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).cast("double")).scalar()
         within = Window.partitionBy("mix_id")
         rows = targets.where("weight > 0").select(
             "mix_id", "source", _key("source").alias("src"), F.col("weight").cast("double").alias("weight"),
             F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("double").alias("cap"),
             F.coalesce("budget_ratio", F.lit(1.0)).cast("double").alias("ratio"),
         )
-        rows = rows.crossJoin(F.broadcast(total)).withColumn("target", F.col("weight") / F.sum("weight").over(within) * F.col("ratio") * F.col("total"))
+        rows = rows.withColumn("target", F.col("weight") / F.sum("weight").over(within) * F.col("ratio") * total)
         sums = self.hist.where("src IS NOT NULL").groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")).alias("squares"))
         rows = rows.join(sums, "src", "left").fillna(0, ["tokens", "squares"])
         self.rows = rows.orderBy("mix_id", "source", "weight", "cap").collect()
