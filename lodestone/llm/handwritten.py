@@ -35,8 +35,7 @@ STUB_LINES = 150  # the same for files on a generator's run-time module
 def latest(parses: DataFrame, *columns: str) -> DataFrame:
     """One row per (``repo``, ``file``) as delivered: its latest parse by ``parsed_at``, then ``ingested_at``, then ``parse_id``; nulls come first."""
     newest = F.max_by(F.struct(*columns), F.struct("parsed_at", "ingested_at", "parse_id"))
-    # a parse without any of the three times still counts when it is the only one
-    return parses.groupBy("repo", "file").agg(newest.alias("__p"), F.first(F.struct(*columns)).alias("__q")).select("repo", "file", F.coalesce("__p", "__q").alias("__p")).select("repo", "file", "__p.*")
+    return parses.groupBy("repo", "file").agg(newest.alias("__p")).select("repo", "file", "__p.*")
 
 
 def path(file: Column) -> Column:

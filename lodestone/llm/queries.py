@@ -59,6 +59,15 @@ _RANKED = f"""
 """
 
 ORACLE: dict[str, str] = {
+    "p1_sentence_runs": r"""
+    WITH r AS (SELECT DISTINCT 'memory_entry' AS rec_kind, id AS rec_id, content AS text FROM memory_entry WHERE id IS NOT NULL AND content IS NOT NULL
+        UNION ALL SELECT DISTINCT 'pr_file', pr_file_id::VARCHAR, patch FROM pr_file WHERE pr_file_id IS NOT NULL AND patch IS NOT NULL),
+    l AS (SELECT rec_kind, rec_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS l FROM r),
+    s AS (SELECT rec_kind, rec_id, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS sentence_no FROM l),
+    t AS (SELECT *, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY rec_kind, rec_id ORDER BY sentence_no)),
+    h AS (SELECT a, b, c, count(DISTINCT (rec_kind, rec_id)) AS n_records, min((rec_kind, rec_id)) AS least FROM t WHERE c IS NOT NULL GROUP BY ALL HAVING count(DISTINCT (rec_kind, rec_id)) > 1)
+    SELECT rec_kind, rec_id, sentence_no, n_records, (rec_kind, rec_id) = least AS first FROM t JOIN h USING (a, b, c)
+    """,
     "p2_found": _RANKED + """
     SELECT grp_kind, grp_key FROM k
     WHERE n >= 30 AND ((grp_kind = 'agent' AND i = (95 * n + 99) // 100 AND v > 5000) OR (grp_kind = 'bench' AND i = (90 * n + 99) // 100 AND v > 400))
