@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the greatest by ``order`` (nulls least). Versions are reduced before the shuffle, so a hot key costs no more than others."""
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])) if rest else F.first(F.lit(1))
-    got = df.groupBy(*keys).agg(F.coalesce(best, F.first(F.struct(*rest))).alias("__v"))
+    best = F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order]))  # an order of nulls is still an order
+    got = df.groupBy(*keys).agg(best.alias("__v"))
     return got.select(*keys, *[F.col(f"__v.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
