@@ -8,6 +8,8 @@ blocks, on vectors kept in half precision (their error stays below 0.001), and t
 
 Vectors of one direction (equal after scaling, in half precision) form a class and stand in the trees once, so
 that a group of copies neither fills a window nor meets in one task.
+
+:func:`nearest` gives the same lists exactly: every listed vector against every entry, in blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from lodestone.plans.shared import stage
 TREES, WIDTH, BITS = 7, 224, 60
 CODED = "kind string, id string, code binary, keys array<bigint>"
 NEAR = "a binary, b binary, similarity float"
+#: Rows a side of a block product, its cells at a time, and how far a product in single precision may be off.
+BLOCK, CELLS, SLACK = 32768, 1 << 24, 1e-6
 
 
 def hyperplanes(dim: int, trees: int, seed: int = 7) -> np.ndarray:
@@ -139,27 +144,113 @@ def neighbours(entries: DataFrame, queries: DataFrame, dim: int, k: int, min_sim
     own = members.where("kind = 'entry'").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).cast("float").alias("similarity")).distinct()
     heads = members.where("kind = 'entry'").select("class", "id").distinct()
     heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("n") <= k + 1)
+    return _lists(members, pairs.unionByName(own), heads, k)
+
+
+def _lists(members: DataFrame, pairs: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """Ranked lists of the members, from the neighbours of their classes (their own class among them) and the ids of those."""
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), "neighbour")
-    targets = pairs.unionByName(own).join(heads.select(F.col("class").alias("b"), F.col("id").alias("neighbour")), "b")
+    targets = pairs.join(heads.select(F.col("class").alias("b"), F.col("id").alias("neighbour")), "b")
     # one place more than k, as a member of the class may find itself among them
     targets = targets.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("a").agg(F.array_sort(F.collect_list(F.struct("n", "neighbour", "similarity"))).alias("list"))
     sources = members.select("kind", "id", F.col("class").alias("a")).distinct().join(targets, "a")
     others = F.filter("list", lambda t: (F.col("kind") == "query") | (t["neighbour"] != F.col("id")))
     ranked = sources.select("kind", "id", F.posexplode(F.slice(others, 1, k)).alias("pos", "t"))
-    return ranked.select("kind", "id", F.col("t.neighbour").alias("neighbour"), F.col("t.similarity").alias("similarity"), (F.col("pos") + 1).alias("rank"))
+    return ranked.select("kind", "id", F.col("t.neighbour").alias("neighbour"), F.col("t.similarity").cast("float").alias("similarity"), (F.col("pos") + 1).alias("rank"))
+
+
+def _scaled(dim: int):
+    """(kind, id, vector) to vectors in single precision, by a power of two below 1: no digit is lost and such multiples are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _vectors(batch.column("vector"), dim).astype(np.float64)
+            raw = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]).astype(np.float32).tobytes()
+            codes = pa.array([raw[i * dim * 4 : (i + 1) * dim * 4] for i in range(len(x))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("id"), codes], names=["kind", "id", "code"])
+
+    return run
+
+
+def _block(dim: int, keep: int, floor: float):
+    """The best ``keep`` targets of each source in one block: those of equal similarity by their smallest id."""
+
+    def run(t: pa.Table) -> pa.Table:
+        def matrix(part: pa.Table) -> np.ndarray:
+            x = np.frombuffer(b"".join(part.column("code").to_pylist()), dtype=np.float32).reshape(part.num_rows, dim).astype(np.float64)
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+        sources, targets = t.filter(t.column("source")), t.filter(pc.invert(t.column("source"))).sort_by("head")
+        x, y = matrix(sources), matrix(targets)
+        x32, y32 = x.astype(np.float32), y.astype(np.float32)
+        out_a, out_b, out_s = [], [], []
+        step = max(1, CELLS // max(1, len(y)))
+        for s in range(0, len(x) if len(y) else 0, step):
+            sims = x32[s : s + step] @ y32.T
+            least = np.full((len(sims), 1), floor, dtype=np.float32)
+            if len(y) > keep:
+                least = np.maximum(least, np.partition(sims, len(y) - keep, axis=1)[:, -keep][:, None])
+            a, b = np.nonzero(sims >= least - SLACK)
+            fine = np.empty(len(a))
+            for i in range(0, len(a), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                fine[part] = (x[s + a[part]] * y[b[part]]).sum(axis=1)
+            fine = np.round(fine, 9)
+            order = np.lexsort((b, -fine, a))
+            a, b, fine = a[order], b[order], fine[order]
+            best = (np.arange(len(a)) - np.searchsorted(a, a) < keep) & (fine >= floor)
+            out_a.append(a[best] + s)
+            out_b.append(b[best])
+            out_s.append(fine[best])
+        a, b, fine = (np.concatenate(o) if o else np.empty(0) for o in (out_a, out_b, out_s))
+        take = lambda part, at: part.column("num").take(pa.array(at.astype(np.int64)))
+        return pa.table({"a": take(sources, a), "b": take(targets, b), "similarity": pa.array(fine, pa.float64())})
+
+    return run
+
+
+def nearest(entries: DataFrame, queries: DataFrame, dim: int, k: int, min_similarity: float = -1.0, block: int = BLOCK) -> DataFrame:
+    """What :func:`neighbours` describes, exactly: products of blocks of ``block`` vectors a side, each vector against every entry.
+
+    The work grows with the square of the distinct vectors. Similarities are rounded to nine decimals before they are ranked.
+    """
+    v = F.col("vector")
+    every = entries.select(F.lit("entry").alias("kind"), "id", "vector").unionByName(queries.select(F.lit("query").alias("kind"), "id", "vector"))
+    scaled = every.where(F.col("id").isNotNull() & usable(v, dim)).mapInArrow(_scaled(dim), "kind string, id string, code binary")
+    vectors = stage(scaled.withColumn("hash", F.unhex(F.md5("code"))), "whole-vectors")
+    head = F.min(F.when(F.col("kind") == "entry", F.col("id")))
+    classes = stage(vectors.groupBy("hash").agg(F.first("code").alias("code"), head.alias("head")).withColumn("num", F.monotonically_increasing_id()), "whole-classes")
+    members = vectors.select("kind", "id", "hash").join(classes.select("hash", F.col("num").alias("class")), "hash").drop("hash")
+
+    targets = classes.where("head IS NOT NULL")
+    n, m = max(2, -(-classes.count() // block)), max(3, -(-targets.count() // block))
+    left, right = F.pmod(F.xxhash64("num"), F.lit(n)).cast("int"), F.pmod(F.xxhash64("num"), F.lit(m)).cast("int")
+    blocks = classes.select(left.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"), F.lit(True).alias("source"), "num", "code", "head").unionByName(
+        targets.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), right.alias("j"), F.lit(False).alias("source"), "num", "code", "head")
+    )
+    # the k + 1 best classes of a block hold the k + 1 best ids, as they are ordered by their smallest ids
+    pairs = blocks.groupBy("i", "j").applyInArrow(_block(dim, k + 1, min_similarity), "a bigint, b bigint, similarity double")
+    ids = members.where("kind = 'entry'").select("class", "id").distinct()
+    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("n") <= k + 1)
+    return _lists(members, pairs, ids, k)
 
 
 # -- queries ---------------------------------------------------------------------------------------
 
 DIM, K, SIMILAR = 128, 10, 0.90
-#: From here on the lists hold more than 0.9 of what brute force finds; far below, no window in hash order does.
-LISTED = 0.70
 
 
 def memory(entries: DataFrame, queries: DataFrame, min_similarity: float) -> DataFrame:
     return neighbours(entries.select("id", F.col("embedding").alias("vector")), queries.select(F.col("query_id").alias("id"), "vector"), DIM, K, min_similarity)
 
 
+def listed(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """The lists of all vectors, however far their neighbours are."""
+    return nearest(entries.select("id", F.col("embedding").alias("vector")), queries.select(F.col("query_id").alias("id"), "vector"), DIM, K)
+
+
 def found(entries: DataFrame, queries: DataFrame) -> DataFrame:
     got = memory(entries, queries, SIMILAR)
     pair = F.when(F.col("kind") == "query", F.struct(F.col("id").alias("l"), F.col("neighbour").alias("r"))).otherwise(F.struct(F.least("id", "neighbour").alias("l"), F.greatest("id", "neighbour").alias("r")))

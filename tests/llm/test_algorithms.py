@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import neighbours as p3
 from lodestone.llm import percentiles as p2
 from lodestone.llm import spans as p1
+from lodestone.llm.queries import QUERIES
 from lodestone.plans.shared import ship
 
 
@@ -179,3 +180,44 @@ def test_neighbours_over_many_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert few == {(r.id, r.neighbour) for r in p3.neighbours(frame(spark, rows), frame(spark, []), 16, 3, trees=2, width=5).collect()}
+
+
+def test_nearest_lists_every_vector(spark):
+    """Far neighbours, scaled copies and near copies alike: what brute force finds, in its order."""
+    rng = np.random.default_rng(5)
+    far = rng.standard_normal((150, 32))
+    near = rng.standard_normal(32) + 0.01 * rng.standard_normal((60, 32))
+    x = np.concatenate([far, near]).astype(np.float32).astype(np.float64)
+    q = rng.standard_normal((20, 32)).astype(np.float32).astype(np.float64)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    want = {}
+    for kind, a, name in (("entry", x, "e"), ("query", q, "q")):
+        sims = unit(a) @ unit(x).T
+        if kind == "entry":
+            np.fill_diagonal(sims, -2)
+        for i, row in enumerate(sims):
+            want[(kind, f"{name}{i:03}")] = [f"e{j:03}" for j in np.argsort(-row)[:5]]
+    rows = lambda a, name: frame(spark, [(f"{name}{i:03}", [float(v) for v in r]) for i, r in enumerate(a)])
+    for block in (40, 32768):
+        got = {}
+        for r in sorted(p3.nearest(rows(x, "e"), rows(q, "q"), 32, 5, block=block).collect(), key=lambda r: r.rank):
+            got.setdefault((r.kind, r.id), []).append(r.neighbour)
+        assert got == want
+
+
+def test_nearest_ties_and_unusable(spark):
+    v = [float(i % 5) for i in range(8)]
+    rows = [(f"c{i:02}", [2.0**i * a for a in v]) for i in range(9)] + [("c00", v), ("n1", None), ("n2", [1.0] * 8), (None, v)]
+    lists = {}
+    for r in sorted(p3.nearest(frame(spark, rows), frame(spark, [("q", v)]), 8, 3).collect(), key=lambda r: r.rank):
+        lists.setdefault((r.kind, r.id), []).append(r.neighbour)
+    assert lists[("query", "q")] == ["c00", "c01", "c02"] and lists[("entry", "c00")] == ["c01", "c02", "c03"]
+    assert set(lists) == {("query", "q")} | {("entry", f"c{i:02}") for i in range(9)}
+    assert p3.nearest(frame(spark, []), frame(spark, []), 8, 3).count() == 0
+
+
+def test_listed_is_full(spark, sf):
+    entries = spark.read.parquet(f"{sf}/memory_entry.parquet")
+    n = QUERIES["p3_neighbours"](spark, sf).groupBy("kind", "id").count()
+    ids = entries.where(p3.usable(entries.embedding, p3.DIM) & entries.id.isNotNull()).select("id").distinct().count()
+    assert ids > 20 and n.where("kind = 'entry'").count() == ids and n.where("count < 10").count() == 0
