@@ -242,13 +242,8 @@ def nearest(entries: DataFrame, queries: DataFrame, dim: int, k: int, min_simila
 DIM, K, SIMILAR = 128, 10, 0.90
 
 
-def memory(entries: DataFrame, queries: DataFrame, min_similarity: float) -> DataFrame:
-    return neighbours(entries.select("id", F.col("embedding").alias("vector")), queries.select(F.col("query_id").alias("id"), "vector"), DIM, K, min_similarity)
-
-
-def listed(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """The lists of all vectors, however far their neighbours are."""
-    return nearest(entries.select("id", F.col("embedding").alias("vector")), queries.select(F.col("query_id").alias("id"), "vector"), DIM, K)
+def memory(entries: DataFrame, queries: DataFrame, min_similarity: float = -1.0) -> DataFrame:
+    return nearest(entries.select("id", F.col("embedding").alias("vector")), queries.select(F.col("query_id").alias("id"), "vector"), DIM, K, min_similarity)
 
 
 def found(entries: DataFrame, queries: DataFrame) -> DataFrame:

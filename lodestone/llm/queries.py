@@ -26,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p2.latency_counts(table(s, d, "pheromone_update"), table(s, d, "benchmark_result")), ["grp_kind", "grp_key"], [50.0, 90.0, 95.0, 99.0]
     ),
     "p3_found": lambda s, d: p3.found(table(s, d, "memory_entry"), table(s, d, "search_query")),
-    "p3_neighbours": lambda s, d: p3.listed(table(s, d, "memory_entry"), table(s, d, "search_query")),
+    "p3_neighbours": lambda s, d: p3.memory(table(s, d, "memory_entry"), table(s, d, "search_query")),
     "p4_found": lambda s, d: p4.found(table(s, d, "pr_file")),
     "p4_findings": lambda s, d: p4.report(table(s, d, "pr_file")),
     "p4_masked": lambda s, d: p4.redact(table(s, d, "pr_file")),

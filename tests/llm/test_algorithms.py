@@ -221,3 +221,19 @@ def test_listed_is_full(spark, sf):
     n = QUERIES["p3_neighbours"](spark, sf).groupBy("kind", "id").count()
     ids = entries.where(p3.usable(entries.embedding, p3.DIM) & entries.id.isNotNull()).select("id").distinct().count()
     assert ids > 20 and n.where("kind = 'entry'").count() == ids and n.where("count < 10").count() == 0
+
+
+def test_found_among_near_copies(spark):
+    """A group far larger than a window of the forest, all of it above the similarity asked for."""
+    rng = np.random.default_rng(6)
+    near = rng.standard_normal(128) + 0.2 * rng.standard_normal((2500, 128))
+    x = np.concatenate([near, rng.standard_normal((500, 128))]).astype(np.float32)
+    ids = [f"e{i:04}" for i in range(len(x))]
+    entries = spark.createDataFrame([(n, [float(v) for v in r]) for n, r in zip(ids, x, strict=True)], "id string, embedding array<float>")
+    queries = spark.createDataFrame([], "query_id string, vector array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -2)
+    want = {("entry", *sorted((ids[i], ids[j]))) for i, row in enumerate(sims) for j in np.argsort(-row)[:10] if row[j] >= 0.9}
+    got = {tuple(r) for r in p3.found(entries, queries).collect()}
+    assert len(want) > 10000 and got == want
