@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as v
 from lodestone.functions.numbers import js_round
-from lodestone.functions.text import bm25, overlap
+from lodestone.functions.text import bm25, overlap, tokens
 from lodestone.operators import search
 from lodestone.queries.base import MEMORY, Tables, query, r6
 
@@ -180,10 +180,20 @@ def _search(t: Tables):
     SELECT pr_id, other, overlap FROM p WHERE overlap > 0.5 QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY overlap DESC, other) <= 5""",
 )
 def _similar(t: Tables):
-    """Titles beginning with one word on one branch, the five with the greatest overlap above a half."""
-    a = t.pull_request.select("pr_id", "title", "base_branch", F.split(F.lower("title"), r"\s+")[0].alias("w1"))
-    b = a.select(F.col("pr_id").alias("other"), F.col("title").alias("title2"), "base_branch", "w1")
-    pairs = a.join(b, ["base_branch", "w1"]).where("pr_id <> other").withColumn("overlap", r6(overlap(F.col("title"), F.col("title2")))).where("overlap > 0.5")
+    """Of all titles the five with the greatest overlap above a half.
+
+    More than half of either title's words are shared, so one of the rarer half of its words (rounded up) is among the other's as well.
+    """
+    words = t.pull_request.where("title IS NOT NULL").select("pr_id", F.array_distinct(tokens(F.col("title"))).alias("w"))
+    each = words.select("pr_id", F.explode("w").alias("word"), F.size("w").alias("n"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    rare = each.join(counts, "word").groupBy("pr_id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "word"))).alias("l"))
+    keys = rare.select("pr_id", "n", F.explode(F.expr("slice(l, 1, (n + 1) div 2).word")).alias("word"))
+    other = keys.select("word", F.col("pr_id").alias("other"), F.col("n").alias("n2"))
+    pairs = keys.join(other, "word").where("pr_id <> other AND 2 * least(n, n2) > greatest(n, n2)").select("pr_id", "other").distinct()
+    titles = t.pull_request.select("pr_id", "title")
+    pairs = pairs.join(titles, "pr_id").join(titles.select(F.col("pr_id").alias("other"), F.col("title").alias("title2")), "other")
+    pairs = pairs.withColumn("overlap", r6(overlap(F.col("title"), F.col("title2")))).where("overlap > 0.5")
     return pairs.withColumn("n", F.row_number().over(Window.partitionBy("pr_id").orderBy(F.desc("overlap"), "other"))).where("n <= 5").select("pr_id", "other", "overlap")
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.catalog import QUERIES
 from lodestone.operators import folds, graph, quality, search
 from lodestone.operators.ranking import index_within
 from lodestone.plans.shared import drop_staged, ship, stage
@@ -151,3 +152,16 @@ def test_quality(spark):
     assert {r.rule for r in quality.issues(files).where("file = 'bad.py'").collect()} == {"AP-GOD_CLASS", "AP-GOD_METHOD", "AP-FEATURE_ENVY", "CC001"}
     worst = {r.file: r.dimension for r in quality.recommendations(quality.file_scores(files), quality.issues(files)).collect()}
     assert worst == {"bad.py": "maintainability"} and quality.issues(files.limit(0)).count() == 0
+
+
+def test_similar_titles_of_any_branch_and_first_word(spark, tmp_path):
+    titles = ["fix the slow cache", "repair the slow cache", "the slow cache of queues", "Cache slow", "other words", None, "the slow cache fix now please", "a b", "b a"]
+    rows = [(i, title, f"branch{i}") for i, title in enumerate(titles)]
+    spark.createDataFrame(rows, "pr_id bigint, title string, base_branch string").write.parquet(f"{tmp_path}/pull_request.parquet")
+    words = {i: set(title.lower().split()) for i, title, _ in rows if title}
+    want = set()
+    for i, a in words.items():
+        near = sorted((-round(len(a & b) / max(len(a), len(b)), 6), j) for j, b in words.items() if i != j and 2 * len(a & b) > max(len(a), len(b)))
+        want |= {(i, j, -o) for o, j in near[:5]}
+    got = {tuple(r) for r in QUERIES["rnk_pattern_similar"](spark, str(tmp_path)).select("pr_id", "other", "overlap").collect()}
+    assert len(want) > 6 and got == want
