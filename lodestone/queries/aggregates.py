@@ -297,7 +297,7 @@ _P = f"{MEMORY}, p AS (SELECT id, reward, length(id) AS n, list_transform(embedd
 def params(t: Tables):
     finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = t.memory.where(F.col("embedding").isNotNull() & finite & (F.size("embedding") >= 16))
-    return rows.select("id", "reward", F.length("id").alias("n"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("p"))
+    return rows.select("id", "reward", F.length("id").alias("n"), F.col("embedding").cast("array<double>").alias("p"))
 
 
 _R6 = lambda c: F.transform(c, lambda x: F.round(x, 6))
@@ -349,8 +349,8 @@ def _mode(t: Tables):
 
 @query("num_flatten", f"WITH {_P} SELECT id, list_concat(list_concat(p[1:8], p[9:16]), p[1:2]) AS v FROM p")
 def _flatten(t: Tables):
-    p = F.col("p")
-    return params(t).select("id", learning.flatten_parts(F.array(F.slice(p, 1, 8)), F.array(F.slice(p, 9, 8)), F.slice(p, 1, 2)).alias("v"))
+    p, half = F.col("p"), F.expr("size(p) div 2")
+    return params(t).select("id", learning.flatten_parts(F.array(F.slice(p, F.lit(1), half)), F.array(F.slice(p, half + 1, F.size(p) - half)), F.slice(p, 1, 2)).alias("v"))
 
 
 @query("num_lora_apply", """WITH c AS (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)

@@ -165,3 +165,12 @@ def test_similar_titles_of_any_branch_and_first_word(spark, tmp_path):
         want |= {(i, j, -o) for o, j in near[:5]}
     got = {tuple(r) for r in QUERIES["rnk_pattern_similar"](spark, str(tmp_path)).select("pr_id", "other", "overlap").collect()}
     assert len(want) > 6 and got == want
+
+
+def test_parameters_are_whole_embeddings(spark, sf):
+    row = spark.read.parquet(f"{sf}/memory_entry.parquet").where("size(embedding) = 128 AND forall(embedding, x -> abs(x) < 1e30) AND reward IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"), F.first("embedding").alias("e")).where("n = 1").first()
+    e = np.array(row.e, dtype=float)
+    one = lambda name: QUERIES[name](spark, sf).where((F.col("key") if name == "num_ewc_loss" else F.col("id")) == row.id).first()
+    assert len(one("num_gradients").g) == len(one("num_fisher").f) == len(one("st_fisher_ema").f) == 128
+    assert one("num_ewc_loss").loss == pytest.approx(5 * np.sum(e**2 * (e / 2) ** 2), abs=2e-6)
+    assert one("num_flatten").v == [*row.e, *row.e[:2]]
