@@ -138,7 +138,7 @@ def _switch(t: Tables):
 
 @query("ap_circular_dependency", f"WITH RECURSIVE {_RING}, c AS (SELECT src, dst, 1 AS d FROM edges UNION ALL SELECT c.src, e.dst, d + 1 FROM c JOIN edges e ON e.src = c.dst WHERE d < 4) SELECT DISTINCT src AS node FROM c WHERE src = dst")
 def _circular(t: Tables):
-    return graph.on_cycles(ring(t), 4).select("node")
+    return graph.on_cycles(ring(t)).select("node")
 
 
 @query("ap_duplicate_code", f"WITH {PATCHES}, l AS (SELECT pr_file_id, unnest(string_split(patch, chr(10))) AS s FROM patches WHERE patch IS NOT NULL), k AS (SELECT trim(substr(s, 2)) AS line, count(DISTINCT pr_file_id) AS n FROM l GROUP BY 1) SELECT md5(line) AS h, n FROM k WHERE n > 1 AND length(line) >= 20")

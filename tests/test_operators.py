@@ -174,3 +174,15 @@ def test_parameters_are_whole_embeddings(spark, sf):
     assert len(one("num_gradients").g) == len(one("num_fisher").f) == len(one("st_fisher_ema").f) == 128
     assert one("num_ewc_loss").loss == pytest.approx(5 * np.sum(e**2 * (e / 2) ** 2), abs=2e-6)
     assert one("num_flatten").v == [*row.e, *row.e[:2]]
+
+
+def test_circular_dependencies_of_any_length(spark, sf):
+    after = {i: (2 * i + 1) % 25 for i in range(25)}
+    want = set()
+    for i in after:
+        j = after[i]
+        for _ in range(25):
+            if j == i and after[i] != i:
+                want.add(i)
+            j = after[j]
+    assert len(want) == 24 and {r.node for r in QUERIES["ap_circular_dependency"](spark, sf).collect()} == want
