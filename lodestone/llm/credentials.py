@@ -111,9 +111,10 @@ SAID = re.compile(rf"`({_NAME})`\s+(?:set to|is|=|to)\s+(`)(.*?)`")
 PROSE = re.compile(r"\b((?:api|access|auth|signing|encryption|private)[ _-]?key|pass(?:word|phrase|wd)?|pwd|token|secret|credentials?)()\s*(?:is|was|=|:|->)\s*[\"'`]?([^\s\"'`]+)", re.I)
 JOINT = re.compile(r"([\"'`])\s*[+.]\s*\1|([\"'`])\s+\2(?=[A-Za-z0-9])")
 
-#: A line without any of these cannot hold one; they are looked for in lower case.
+#: A line without any of these, a long run or a joint cannot hold one; they are looked for in lower case.
 HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "://", "-u ", "--user", "sig=", "gh", "glpat-", "xox", "sk_", "rk_", "npm_", "dop_v1_", "sg.", "aiza", "akia", "asia", "eyj", "pypi-", "hvs.", "dckr_", "sk-", "ya29.", "_pk_", "_pat_")
-LONG = re.compile(r"[A-Za-z0-9+/=_\-]{28,}")
+LONG = re.compile(r"[A-Za-z0-9+/=_\-.~]{24,}")  # what live() takes without a name
+JOINTS = re.compile(JOINT.pattern.replace(r"\s", r"[^\S\n]"))  # within a line
 
 
 def _last_word(name: str) -> str:
@@ -208,7 +209,7 @@ class Finder:
                     break
                 i = low.find(hint, starts[n])
         if len(low) == len(patch):
-            hot |= {bisect_right(starts, m.start()) for m in LONG.finditer(patch)}
+            hot |= {bisect_right(starts, m.start()) for shape in (LONG, JOINTS) for m in shape.finditer(patch)}
         else:
             hot = set(range(1, len(starts) + 1))
         ends = [*(s - 1 for s in starts[1:]), len(patch)]

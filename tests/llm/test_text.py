@@ -266,3 +266,10 @@ def test_token_size(spark):
     texts = ["", None, "a b", "x_1--y", " é a", "a\x0bb\x1cc"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(token_size(F.col("t")).alias("n")).collect()
     assert [r.n for r in got] == [len(TOKEN.findall(t or "")) for t in texts]
+
+
+def test_lines_without_hints_or_long_runs():
+    value = "qZ7xW2vK9" + "mJ4bT8rN3" + "cF6hL1"
+    find = p4.Finder(set())
+    for line in (f'+x = "{value}"', f'+x = "{value[:12]}.{value[12:]}"', f'+x = "{value[:12]}" + "{value[12:]}"'):
+        assert find(line) and find(line) == find(line + "\n+\u0130")
