@@ -32,15 +32,17 @@ def import_edges(files: DataFrame) -> DataFrame:
     return wanted.join(known, ["repo", "stem"]).where("src <> dst").select("repo", "src", "dst").distinct()
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Distinct (src, dst, depth) with dst reachable from src over 1 to ``most`` edges, depth the least number; src itself only over a cycle.
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct (src, dst, depth) with dst reachable from src over any number of edges, or 1 to ``most``, depth the least number; src itself only over a cycle.
 
     Semi-naive: only pairs new in a round are extended.
     """
     edges = edges.select("src", "dst").distinct()
     found = stage(edges.select("src", "dst", F.lit(1).alias("depth")), "closure")
     fresh = found
-    for depth in range(2, most + 1):
+    depth = 1
+    while most is None or depth < most:
+        depth += 1
         step = fresh.select("src", F.col("dst").alias("via")).join(edges.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()
         fresh = stage(step.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if fresh.isEmpty():
@@ -68,8 +70,8 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
 
 
-def on_cycles(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes that reach themselves within ``most`` edges, with the length of the shortest way."""
+def on_cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Nodes that reach themselves, within ``most`` edges if given, with the length of the shortest way."""
     return closure(edges, most).where("src = dst").select(F.col("src").alias("node"), F.col("depth").alias("length"))
 
 

@@ -186,3 +186,10 @@ def test_circular_dependencies_of_any_length(spark, sf):
                 want.add(i)
             j = after[j]
     assert len(want) == 24 and {r.node for r in QUERIES["ap_circular_dependency"](spark, sf).collect()} == want
+
+
+def test_closure_has_no_limit_of_its_own(spark):
+    """A chain of more than 64 edges takes minutes here, so a short one and the defaults stand for it."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(4)], "src int, dst int")
+    assert graph.closure(chain).count() == 10 and graph.closure(chain, 2).count() == 7
+    assert graph.closure.__defaults__ == (None,) and graph.on_cycles.__defaults__ == (None,)
