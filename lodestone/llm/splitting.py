@@ -3,7 +3,8 @@
 Separators form a hierarchy: section, paragraph, sentence or line, word, character. A piece is packed as far
 as the limit lets it, and ends at the last boundary of the highest level that still leaves it at least half
 full; where no such level has one, at the last sentence or line boundary at all; only where a stretch has none,
-between words, and between characters where there is no white space. Each further piece begins ``overlap`` tokens before the cut.
+between words, and between characters where there is no white space. Each further piece begins ``overlap`` tokens
+before the cut; a boundary within the first ``overlap`` tokens of a piece is none, as the next piece would not get on.
 """
 
 from __future__ import annotations
@@ -59,21 +60,21 @@ def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str,
         i = int(np.searchsorted(at, high, "right")) - 1
         return int(at[i]) if i >= 0 and at[i] > low else None
 
-    out, start, done = [], 0, 0  # tokens: where the piece begins, and how far the text is covered
+    out, start = [], 0  # the piece's first token
     while True:
-        high = start + limit
+        low, high = start + overlap, start + limit  # up to ``low`` the text is covered already
         if high >= n:
             stop, level = n, 5
         else:
-            half = max(done, start + limit // 2)
-            picks = [(last(levels[k], half, high), k) for k in (0, 1, 2)] + [(last(levels[k], done, high), k) for k in (2, 3, 4)]
+            half = max(low, start + limit // 2)
+            picks = [(last(levels[k], half, high), k) for k in (0, 1, 2)] + [(last(levels[k], low, high), k) for k in (2, 3, 4)]
             stop, level = next(p for p in picks if p[0] is not None)
         a = 0 if start == 0 else int(begins[start])
         b = len(codes) if stop == n else int(begins[stop])
         out.append((a, b, stop - start, LEVELS[level], longest))
         if stop == n:
             return out
-        start, done = max(stop - overlap, start + 1), stop
+        start = stop - overlap
 
 
 def split(df: DataFrame, text: str, limit: int = 800, overlap: int = 80, size: Column | None = None) -> DataFrame:

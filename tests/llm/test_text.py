@@ -250,6 +250,47 @@ def test_cuts(text, limit, overlap):
         assert all(p[3] in ("section", "paragraph", "sentence", "end") for p in pieces)
 
 
+def brute_cuts(text, limit, overlap):
+    """The pieces by plain search: boundaries of each level as sets of token counts, tried one by one from the far end."""
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    n = len(spans)
+    if n <= limit:
+        return [(0, len(text), "end")]
+    before = lambda at: sum(b <= at for _, b in spans)  # noqa: E731  whole tokens up to a place
+    sentence = {before(m.end()) for m in re.finditer(r"\n|(?<=[.!?]) ", text)}
+    paragraph = {before(m.end()) for m in re.finditer(r"\n\s*\n", text)}
+    section = {before(m.start()) for m in re.finditer(r"^(?=#{1,6} |={3,}$|-{3,}$|diff --git )", text, re.M)}
+    word = {i for i in range(1, n) if text[spans[i][0] - 1] in " \t\n\r\f\v"}
+    out, start = [], 0
+    while True:
+        low, high = start + overlap, start + limit
+        a = spans[start][0] if start else 0
+        if high >= n:
+            return [*out, (a, len(text), "end")]
+        half = max(low, start + limit // 2)
+        tries = [("section", section, half), ("paragraph", paragraph, half), ("sentence", sentence, half), ("sentence", sentence, low), ("word", word, low), ("character", set(range(n)), low)]
+        stop, level = next((i, name) for name, places, least in tries for i in range(high, least, -1) if i in places)
+        out.append((a, spans[stop][0], level))
+        start = stop - overlap
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS, st.integers(4, 30), st.integers(0, 9))
+def test_cuts_against_brute_force(text, limit, overlap):
+    overlap = min(overlap, (limit - 1) // 2)
+    assert [(a, b, level) for a, b, _, level, _ in p9.cuts(text, limit, overlap)] == brute_cuts(text, limit, overlap)
+
+
+def test_every_boundary_of_the_table_overlaps(spark, sf):
+    got = p9.split(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "text").orderBy("doc_id", "piece_no").collect()
+    assert got
+    for x, y in zip(got, got[1:], strict=False):
+        if x.doc_id == y.doc_id:
+            assert len(TOKEN.findall(x.text[y.piece_start : x.piece_stop])) == 80 and 80 < x.piece_tokens <= 800
+        else:
+            assert y.piece_start == 0 and x.piece_stop == len(x.text)
+
+
 def test_splitting(spark):
     soft = "Some words in a line. " * 400
     hard = "word " * 2000
