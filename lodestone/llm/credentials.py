@@ -9,7 +9,6 @@ The dictionary is the corpus's own: words that many patches use.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -111,10 +110,17 @@ SAID = re.compile(rf"`({_NAME})`\s+(?:set to|is|=|to)\s+(`)(.*?)`")
 PROSE = re.compile(r"\b((?:api|access|auth|signing|encryption|private)[ _-]?key|pass(?:word|phrase|wd)?|pwd|token|secret|credentials?)()\s*(?:is|was|=|:|->)\s*[\"'`]?([^\s\"'`]+)", re.I)
 JOINT = re.compile(r"([\"'`])\s*[+.]\s*\1|([\"'`])\s+\2(?=[A-Za-z0-9])")
 
-#: A line without any of these, a long run or a joint cannot hold one; they are looked for in lower case.
-HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "://", "-u ", "--user", "sig=", "gh", "glpat-", "xox", "sk_", "rk_", "npm_", "dop_v1_", "sg.", "aiza", "akia", "asia", "eyj", "pypi-", "hvs.", "dckr_", "sk-", "ya29.", "_pk_", "_pat_")
-LONG = re.compile(r"[A-Za-z0-9+/=_\-.~]{24,}")  # what live() takes without a name
-JOINTS = re.compile(JOINT.pattern.replace(r"\s", r"[^\S\n]"))  # within a line
+# What every finding needs in its line, pattern by pattern; a line with none of it is passed over unread.
+#: All that SECRET_NAME, SECRET_WORDS, NETRC_LOGIN and PEM can match holds one of these once the line is flattened as names are.
+STEMS = re.compile(r"pass|pwd|secret|token|credential|auth|key")
+#: A literal that is taken without a telling name, one put together from parts, and what the patterns that need no name begin with.
+CUES = (re.compile(r"[A-Za-z0-9+/=_\-.~]{24,}"), JOINT, KNOWN, URL_PARAM, re.compile(r"://|\s-u|--user"))
+_FLAT = re.compile(r"[^a-z0-9\n]+")
+
+
+def _body(line: str) -> str:
+    """Without the mark of an added, removed or context line."""
+    return line[1:] if line[:1] in ("+", "-", " ") else line
 
 
 def _last_word(name: str) -> str:
@@ -136,8 +142,9 @@ def name_kind(name: str) -> str:
 class Finder:
     """Finds credentials in one patch."""
 
-    def __init__(self, words: set[str]):
-        self.seg = Segmenter(words)
+    def __init__(self, words: set[str], skip: bool = True):
+        """``skip``: pass over lines that cannot hold a finding, without a change to the result."""
+        self.seg, self.skip = Segmenter(words), skip
 
     def live(self, value: str, kind: str) -> bool:
         """Whether a literal assigned to a name of this kind is a usable-looking credential."""
@@ -193,29 +200,16 @@ class Finder:
     def __call__(self, patch: str) -> list[tuple[int, str, int, int]]:
         """(line number from 1, kind, start, stop) with places in the patch; one over several lines comes once a
         line, the first line first, its later lines with kind 'continued'."""
-        low = patch.lower()
+        lines = patch.split("\n")
         starts = [0]
-        at = patch.find("\n")
-        while at >= 0:
-            starts.append(at + 1)
-            at = patch.find("\n", at + 1)
-        hot: set[int] = set()
-        for hint in HINTS if len(low) == len(patch) else ():
-            i = low.find(hint)
-            while i >= 0:
-                n = bisect_right(starts, i)
-                hot.add(n)
-                if n == len(starts):
-                    break
-                i = low.find(hint, starts[n])
-        if len(low) == len(patch):
-            hot |= {bisect_right(starts, m.start()) for shape in (LONG, JOINTS) for m in shape.finditer(patch)}
-        else:
-            hot = set(range(1, len(starts) + 1))
+        for text in lines[:-1]:
+            starts.append(starts[-1] + len(text) + 1)
+        flat = _FLAT.sub("", patch.lower()).split("\n")  # line by line what a name is flattened to
+        hot = (n for n, text in enumerate(lines, 1) if not self.skip or STEMS.search(flat[n - 1]) or any(c.search(_body(text)) for c in CUES))
         ends = [*(s - 1 for s in starts[1:]), len(patch)]
         out: list[tuple[int, str, int, int]] = []
         in_pem = 0
-        for n in sorted(hot):
+        for n in hot:
             if n <= in_pem:
                 continue
             a = starts[n - 1]
@@ -226,8 +220,8 @@ class Finder:
                 spans, in_pem = self.pem(patch, starts, ends, n, a + m.end())
                 out += spans
                 continue
-            body = line[:1] in "+- " and len(line) > 0
-            out += [(n, k, a + body + x, a + body + y) for k, x, y in sorted(self.in_line(line[body:]), key=lambda f: f[1])]
+            at = a + len(line) - len(_body(line))
+            out += [(n, k, at + x, at + y) for k, x, y in sorted(self.in_line(_body(line)), key=lambda f: f[1])]
         return out
 
     def pem(self, patch: str, starts: list[int], ends: list[int], n: int, at: int) -> tuple[list[tuple[int, str, int, int]], int]:
@@ -274,24 +268,33 @@ class Finder:
 # -- operators -------------------------------------------------------------------------------------
 
 
-def scan(files: DataFrame, text: str, words: set[str]) -> DataFrame:
-    """``files`` with ``findings``: an array of (line_no, kind, start, stop), null texts giving none."""
+def mask(text: str, found: list[tuple[int, str, int, int]]) -> str:
+    """The text with every finding overwritten by asterisks, one for each character; all else, lengths included, stays."""
+    parts, at = [], 0
+    for _, _, start, stop in sorted(found, key=lambda f: f[2:]):
+        start = max(start, at)
+        parts += [text[at:start], "*" * (stop - start)]
+        at = max(at, stop)
+    return "".join([*parts, text[at:]])
+
+
+def scan(files: DataFrame, text: str, words: set[str], masked: bool = False) -> DataFrame:
+    """``files`` with ``findings``: an array of (line_no, kind, start, stop), null texts giving none; if asked for, ``text`` is masked."""
     known = files.sparkSession.sparkContext.broadcast(words)  # see WORD_SHARE for its bound
+    names = ("line_no", "kind", "start", "stop")
 
-    @F.pandas_udf(FINDING)
-    def findings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"findings {FINDING}, masked string" if masked else f"findings {FINDING}")
+    def findings(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         find = Finder(known.value)
-        names = ("line_no", "kind", "start", "stop")
         for texts in batches:
-            yield pd.Series([[] if t is None else [dict(zip(names, f, strict=True)) for f in find(t)] for t in texts])
-
-    return files.withColumn("findings", findings(F.col(text)))
-
+            found = [[] if t is None else find(t) for t in texts]
+            out = pd.DataFrame({"findings": [[dict(zip(names, f, strict=True)) for f in fs] for fs in found]}, dtype=object)
+            if masked:
+                out["masked"] = pd.Series([t if t is None else mask(t, fs) for t, fs in zip(texts, found, strict=True)], dtype=object)
+            yield out
 
-def masked(text: str, findings: str = "findings"):
-    """The text with every finding overwritten by asterisks, each for one character; all else, lengths included, stays."""
-    step = lambda acc, f: F.concat(F.substring(acc, F.lit(1), f["start"]), F.repeat(F.lit("*"), f["stop"] - f["start"]), F.substr(acc, f["stop"] + 1))
-    return F.when(F.size(findings) > 0, F.aggregate(findings, F.col(text), step)).otherwise(F.col(text))
+    out = files.withColumn("__s", findings(F.col(text))).withColumn("findings", F.col("__s.findings"))
+    return (out.withColumn(text, F.col("__s.masked")) if masked else out).drop("__s")
 
 
 def _files(files: DataFrame) -> DataFrame:
@@ -300,9 +303,9 @@ def _files(files: DataFrame) -> DataFrame:
 
 def redact(files: DataFrame) -> DataFrame:
     """One row per row of ``files``: ``pr_file_id, filename, n_findings`` (a credential over several lines counts once) and ``patch``, masked."""
-    got = scan(_files(files), "patch", dictionary(files, "patch"))
+    got = scan(_files(files), "patch", dictionary(files, "patch"), masked=True)
     first = F.filter("findings", lambda f: f["kind"] != "continued")
-    return got.select("pr_file_id", "filename", F.size(first).alias("n_findings"), masked("patch").alias("patch"))
+    return got.select("pr_file_id", "filename", F.size(first).alias("n_findings"), "patch")
 
 
 def report(files: DataFrame) -> DataFrame:
