@@ -62,30 +62,34 @@ class Mix:
         for i, r in enumerate(self.rows):
             if r.tokens and r.cap > 0:
                 scale = r.squares / r.tokens  # the mean size of a token's document
-                if r.target >= r.cap * r.tokens:
+                if r.target >= r.cap * r.tokens:  # the dual has no finite solution: all rates at their bound
                     state[i] = {"lam": math.inf, "cap": r.cap, "scale": scale, "done": True}
                 else:
-                    state[i] = {"lam": min(50.0, max(-50.0, math.log(r.target / r.tokens))), "cap": r.cap, "scale": scale, "lo": -1e4, "hi": 1e4, "done": False}
-        for _ in range(MOST_STEPS):
+                    # sizes are 1 at least, so the solution lies between the rates that no document, and that all, would pass
+                    lo, hi = scale * min(0.0, math.log(r.target / r.tokens)) - 1, scale * max(0.0, math.log(r.cap)) + 1
+                    state[i] = {"lam": min(hi, max(lo, math.log(r.target / r.tokens))), "cap": r.cap, "scale": scale, "lo": lo, "hi": hi, "done": False}
+        for step_no in range(MOST_STEPS + 1):
             open_rows = [(i, s["lam"], s["cap"], s["scale"]) for i, s in state.items() if not s["done"]]
             if not open_rows:
                 break
+            if step_no == MOST_STEPS:
+                raise RuntimeError(f"{len(open_rows)} rows of the mixes not solved in {MOST_STEPS} steps, the first of them {self.rows[open_rows[0][0]].mix_id} {self.rows[open_rows[0][0]].source}")
             for got in self._rated(spark, open_rows).groupBy("row_id").agg(F.sum(F.col("n") * F.col("size") * F.col("w")).alias("value"), F.sum(F.when(F.col("w") < F.col("cap"), F.col("n") * F.col("size") * F.col("size") * F.col("w") / F.col("scale")).otherwise(0.0)).alias("slope")).collect():
                 s, target = state[got.row_id], self.rows[got.row_id].target
                 if abs(got.value - target) <= TOLERANCE * target:
                     s["done"] = True
                     continue
                 s["lo" if got.value < target else "hi"] = s["lam"]
-                # a Newton step on the logarithm of the dual's gradient, kept within the bracket known so far
+                # a Newton step on the logarithm of the dual's gradient; the bracket is halved where that leaves it, and in the second half of the steps
                 step = s["lam"] + (math.log(target / got.value) * got.value / got.slope if got.slope > 0 and got.value > 0 else math.inf)
-                s["lam"] = step if s["lo"] < step < s["hi"] else (s["lo"] + s["hi"]) / 2
+                s["lam"] = step if s["lo"] < step < s["hi"] and step_no < MOST_STEPS // 2 else (s["lo"] + s["hi"]) / 2
         return [(i, min(s["lam"], 1e300), s["cap"], s["scale"]) for i, s in state.items()]
 
     def _rated(self, spark: SparkSession, rates: list[tuple]) -> DataFrame:
         """Frequencies of the rows' sources with the rate ``w`` of each size."""
         lam = spark.createDataFrame([(*r, self.rows[r[0]].src) for r in rates], RATES + ", src string")
         power = F.least(F.log("cap"), F.when(F.col("lam") > 1e200, F.log("cap")).otherwise(F.col("lam") * F.col("size") / F.col("scale")))
-        # one row per row of the mixes' configuration
+        # one row per row of the mixes' configuration, which the driver holds
         return self.hist.where("src IS NOT NULL AND size > 0").join(F.broadcast(lam), "src").withColumn("w", F.when(power >= F.log("cap"), F.col("cap")).otherwise(F.exp(power)))
 
     def _plan(self, spark: SparkSession) -> DataFrame:
@@ -97,18 +101,23 @@ class Mix:
         return rated.withColumn("__upto", upto).withColumn("m", F.col("__upto") - F.coalesce(F.lag("__upto").over(by), F.lit(0)))
 
     def _row_table(self, spark: SparkSession) -> DataFrame:
-        fields = "row_id long, mix_id string, source string, target double, max_tokens double, source_tokens long"
-        return spark.createDataFrame([(i, r.mix_id, r.source, float(r.target), float(r.cap * r.tokens), int(r.tokens)) for i, r in enumerate(self.rows)], fields)
+        fields = "row_id long, mix_id string, source string, target double, source_tokens long"
+        return spark.createDataFrame([(i, r.mix_id, r.source, float(r.target), int(r.tokens)) for i, r in enumerate(self.rows)], fields)
 
     def shares(self, spark: SparkSession) -> DataFrame:
-        """One row per row of ``targets`` with a weight: target and reached tokens and shares, and whether the cap binds."""
-        reached = self._plan(spark).groupBy("row_id").agg(F.sum(F.col("m") * F.col("size")).alias("tokens"), F.sum("m").alias("copies"))
+        """One row per row of ``targets`` with a weight: target and reached tokens and shares, and ``capped``, whether the
+        solved rates are all at their bound (or there is nothing to take) and still give fewer tokens than the target."""
+        reached = self._plan(spark).groupBy("row_id").agg(
+            F.sum(F.col("m") * F.col("size")).alias("tokens"), F.sum("m").alias("copies"),
+            F.sum(F.col("n") * F.col("size") * F.col("w")).alias("rated"), F.bool_and(F.col("w") >= F.col("cap")).alias("bound"),
+        )
         mix = Window.partitionBy("mix_id")
         share = lambda c: F.try_divide(F.col(c).cast("double"), F.sum(c).over(mix))
         out = self._row_table(spark).join(reached, "row_id", "left").fillna(0, ["tokens", "copies"])
+        capped = F.coalesce("bound", F.lit(True)) & (F.coalesce("rated", F.lit(0.0)) < F.col("target"))
         return out.select(
             "mix_id", "source", F.col("target").alias("target_tokens"), "source_tokens", "tokens", "copies",
-            share("target").alias("target_share"), share("tokens").alias("share"), (F.col("target") > F.col("max_tokens")).alias("capped"),
+            share("target").alias("target_share"), share("tokens").alias("share"), capped.alias("capped"),
         )
 
     def documents(self, spark: SparkSession) -> DataFrame:

@@ -231,6 +231,27 @@ def test_mixing(spark):
     assert {x.tokens for x in p8.shares(docs(spark, []), targets).collect()} == {0}
 
 
+def test_mixing_hard_rows(spark, monkeypatch):
+    """Sizes far apart with targets next to both ends converge; a target out of reach is capped; too few steps are an error."""
+    rows = [(i, "w " * n, "wide", None, 1, "x") for i, n in enumerate([1] * 50 + [3000, 9000])] + [(99, "w " * 20000, "rest", None, 1, "x")]
+    kinds = "mix_id string, source string, weight double, max_repeats int, budget_ratio double"
+    tokens = 50 + 12000
+    total = tokens + 20000
+    near = [("most", "wide", 1.0, 4, 3.9999 * tokens / total), ("least", "wide", 1.0, 4, 0.001 * tokens / total), ("over", "wide", 1.0, 4, 4.0001 * tokens / total), ("none", "gone", 1.0, 4, 0.5), ("zero", "wide", 1.0, 0, 0.5)]
+    mix = p8.solve(docs(spark, rows), spark.createDataFrame(near, kinds))
+    assert {x.mix_id: x.capped for x in mix.shares(spark).collect()} == {"most": False, "least": False, "over": True, "none": True, "zero": True}
+    solved = {mix.rows[i].mix_id: (lam, scale) for i, lam, _, scale in mix.rates}
+    for name, want in (("most", 3.9999 * tokens), ("least", 0.001 * tokens)):
+        lam, scale = solved[name]
+        got = sum(n * min(4.0, 2.718281828459045 ** min(700.0, lam * n / scale)) for n in [1] * 50 + [3000, 9000])
+        assert abs(got - want) <= 2e-6 * want
+    plan = p8.found(docs(spark, rows), spark.createDataFrame(near, kinds))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lam" in plan and "rated" in plan  # the solved rates decide
+    monkeypatch.setattr(p8, "MOST_STEPS", 1)
+    with pytest.raises(RuntimeError, match="not solved"):
+        p8.solve(docs(spark, rows), spark.createDataFrame(near, kinds))
+
+
 TEXTS = st.text(alphabet="ab1_ .!?\n#-é😀", max_size=300)
 
 
