@@ -46,8 +46,10 @@ BLOCK, CELLS, SLACK = 32768, 1 << 24, 1e-6
 
 
 def trees_for(n: int, similarity: float, recall: float, width: int) -> int:
-    """Trees needed for ``n`` vectors: the ascent ends about where ``width`` of them share a prefix, at a depth of log2(n / width)."""
-    share = (1 - math.acos(similarity) / math.pi) ** max(0.0, math.log2(max(n, 1) / width))
+    """Trees needed for ``n`` vectors: the ascent ends about where ``width`` of them share a prefix, at a depth of log2(n / width), and one bit is
+    allowed for as hyperplanes do not halve a collection exactly."""
+    depth = math.log2(max(n, 1) / width) + 1
+    share = (1 - math.acos(similarity) / math.pi) ** max(0.0, depth)
     return 1 if share >= recall else math.ceil(math.log(1 - recall) / math.log(1 - share))
 
 
