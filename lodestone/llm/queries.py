@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import credentials as p4
 from lodestone.llm import handwritten as p5
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: p1.found(table(s, d, "memory_entry"), table(s, d, "pr_file")),
     "p1_shares": lambda s, d: p1.shares(table(s, d, "memory_entry"), table(s, d, "pr_file")),
     "p1_sentence_runs": lambda s, d: p1.sentence_runs(table(s, d, "memory_entry"), table(s, d, "pr_file")),
+    "p1_cleaned": lambda s, d: p1.without_repeats(table(s, d, "memory_entry"), table(s, d, "pr_file")).withColumn("text", F.md5("text")),
     "p2_found": lambda s, d: p2.found(table(s, d, "pheromone_update"), table(s, d, "benchmark_result")),
     "p2_percentiles": lambda s, d: p2.percentiles(
         p2.latency_counts(table(s, d, "pheromone_update"), table(s, d, "benchmark_result")), ["grp_kind", "grp_key"], [50.0, 90.0, 95.0, 99.0]
@@ -58,15 +60,25 @@ _RANKED = f"""
     k AS (SELECT *, row_number() OVER (PARTITION BY grp_kind, grp_key ORDER BY v) AS i, count(*) OVER (PARTITION BY grp_kind, grp_key) AS n FROM r)
 """
 
-ORACLE: dict[str, str] = {
-    "p1_sentence_runs": r"""
+_RUNS = r"""
     WITH r AS (SELECT DISTINCT 'memory_entry' AS rec_kind, id AS rec_id, content AS text FROM memory_entry WHERE id IS NOT NULL AND content IS NOT NULL
         UNION ALL SELECT DISTINCT 'pr_file', pr_file_id::VARCHAR, patch FROM pr_file WHERE pr_file_id IS NOT NULL AND patch IS NOT NULL),
     l AS (SELECT rec_kind, rec_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS l FROM r),
     s AS (SELECT rec_kind, rec_id, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS sentence_no FROM l),
     t AS (SELECT *, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY rec_kind, rec_id ORDER BY sentence_no)),
-    h AS (SELECT a, b, c, count(DISTINCT (rec_kind, rec_id)) AS n_records, min((rec_kind, rec_id)) AS least FROM t WHERE c IS NOT NULL GROUP BY ALL HAVING count(DISTINCT (rec_kind, rec_id)) > 1)
-    SELECT rec_kind, rec_id, sentence_no, n_records, (rec_kind, rec_id) = least AS first FROM t JOIN h USING (a, b, c)
+    h AS (SELECT a, b, c, count(DISTINCT (rec_kind, rec_id)) AS n_records, min((rec_kind, rec_id)) AS least FROM t WHERE c IS NOT NULL GROUP BY ALL HAVING count(DISTINCT (rec_kind, rec_id)) > 1),
+    runs AS (SELECT rec_kind, rec_id, sentence_no, n_records, (rec_kind, rec_id) = least AS first FROM t JOIN h USING (a, b, c))
+"""
+
+ORACLE: dict[str, str] = {
+    "p1_sentence_runs": _RUNS + "SELECT rec_kind, rec_id, sentence_no, n_records, first FROM runs",
+    "p1_cleaned": _RUNS + r""",
+    pieces AS (SELECT rec_kind, rec_id, text, string_split(regexp_replace(text, '([.!?] |\n)', '\1' || chr(57345), 'g'), chr(57345)) AS l FROM r),
+    piece AS (SELECT rec_kind, rec_id, text, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM pieces),
+    filled AS (SELECT *, trim(rtrim(raw, chr(10)), ' ') <> '' AS is_s, count(*) FILTER (trim(rtrim(raw, chr(10)), ' ') <> '') OVER (PARTITION BY rec_kind, rec_id, text ORDER BY i) - 1 AS no FROM piece),
+    gone AS (SELECT DISTINCT rec_kind, rec_id, sentence_no + d AS no FROM runs, range(3) t(d) WHERE NOT first)
+    SELECT f.rec_kind, f.rec_id, count(*) FILTER (is_s) AS n_sentences, count(*) FILTER (is_s AND g.no IS NOT NULL) AS n_removed, md5(coalesce(string_agg(CASE WHEN is_s AND g.no IS NOT NULL THEN '' ELSE raw END, '' ORDER BY i), '')) AS text
+    FROM filled f LEFT JOIN gone g USING (rec_kind, rec_id, no) GROUP BY f.rec_kind, f.rec_id, text
     """,
     "p2_found": _RANKED + """
     SELECT grp_kind, grp_key FROM k

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.shared import stage
@@ -149,8 +149,9 @@ def _windows(run: int):
 
 
 def _shared(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys held by more than one record; pre-aggregated before the shuffle."""
-    return df.groupBy(*keys).agg(F.min("rid").alias("__a"), F.max("rid").alias("__b")).where("__a < __b").select(*keys)
+    """Keys held by more than one record, pre-aggregated before the shuffle. A table of its own, so that in a join with it both
+    sides are read from plain shuffles and the occurrences of a hot key are split over tasks."""
+    return stage(df.groupBy(*keys).agg(F.min("rid").alias("__a"), F.max("rid").alias("__b")).where("__a < __b").select(*keys), "shared-keys")
 
 
 def stretches(records: DataFrame, run: int = RUN) -> DataFrame:
@@ -172,7 +173,7 @@ def stretches(records: DataFrame, run: int = RUN) -> DataFrame:
         .select("h", "rid", "lo", "hi", (F.col("yes_lo").isNotNull() & F.col("yes_hi").isNotNull()).alias("whole"))
     )
     both = stage(both, "occurrences")
-    open_h = both.where("NOT whole").select("h").distinct()
+    open_h = stage(both.where("NOT whole").select("h").distinct(), "open-anchors")
     edges = both.join(open_h, "h", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("edges"))
     texts = records.select("rid", "text").where(F.length("text") >= run).join(edges, "rid")
     windows = stage(texts.mapInArrow(_windows(run), WINDOWS), "edge-windows")
@@ -217,18 +218,50 @@ def shares(entries: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("rec_kind", "rec_id", "n_chars", "shared_chars", F.coalesce(F.try_divide("shared_chars", "n_chars"), F.lit(0.0)).alias("share"), "n_spans")
 
 
+#: Sentences end at LF and after '.', '!' or '?' with a space; the pieces keep their ends, so that together they are the text.
+SENTENCE = r"(?<=\n)|(?<=[.!?] )"
+
+
+def _sentences(text: Column) -> Column:
+    """Pieces (struct of ``raw`` and ``s``, trimmed) of a text; blank ones have an empty ``s``."""
+    return F.transform(F.split(text, SENTENCE), lambda p: F.struct(p.alias("raw"), F.trim(F.regexp_replace(p, r"\n$", "")).alias("s")))
+
+
+def _texts(entries: DataFrame, files: DataFrame) -> DataFrame:
+    every = records(entries, files).where("text IS NOT NULL").select("rec_kind", "rec_id", "text").distinct()
+    return every.select("rec_kind", "rec_id", _sentences(F.col("text")).alias("pieces"))
+
+
 def sentence_runs(entries: DataFrame, files: DataFrame, length: int = 3) -> DataFrame:
     """Runs of ``length`` consecutive sentences (cut at LF and after '.', '!' or '?' with a space) held by several records.
 
     One row per occurrence: ``rec_kind, rec_id, sentence_no`` (from 0, blank sentences not counted), ``n_records``
     and ``first``, which marks the record whose copy would stay; a text is cleaned of repeats by removing the
-    sentences that a run with ``first`` false covers. First is the smallest (rec_kind, rec_id).
+    sentences that a run with ``first`` false covers. First is the smallest (rec_kind, rec_id). Null texts have no runs.
     """
-    every = records(entries, files).where("text IS NOT NULL").select("rec_kind", "rec_id", "text").distinct()
-    sentences = F.filter(F.transform(F.split("text", r"\n|(?<=[.!?]) "), lambda s: F.trim(s)), lambda s: s != "")
-    cut = every.select("rec_kind", "rec_id", sentences.alias("s")).where(F.size("s") >= length)
+    words = F.transform(F.filter("pieces", lambda p: p["s"] != ""), lambda p: p["s"])
+    cut = _texts(entries, files).select("rec_kind", "rec_id", words.alias("s")).where(F.size("s") >= length)
     runs = cut.select("rec_kind", "rec_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("s") - length + 1), lambda i: F.slice("s", i, length))).alias("sentence_no", "run"))
     key = F.struct(F.xxhash64("run").alias("x"), F.xxhash64(F.lit(1), F.col("run")).alias("y"))
     hashed = stage(runs.select("rec_kind", "rec_id", "sentence_no", key.alias("k")).select("rec_kind", "rec_id", "sentence_no", "k.*"), "sentence-runs")
     held = hashed.select("x", "y", "rec_kind", "rec_id").distinct().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_records"), F.min(F.struct("rec_kind", "rec_id")).alias("__first")).where("n_records > 1")
+    held = stage(held, "shared-runs")  # a table of its own, as in _shared
     return hashed.join(held, ["x", "y"]).select("rec_kind", "rec_id", "sentence_no", "n_records", (F.struct("rec_kind", "rec_id") == F.col("__first")).alias("first"))
+
+
+def without_repeats(entries: DataFrame, files: DataFrame, length: int = 3) -> DataFrame:
+    """Texts without the sentences that a non-first repeated run covers: ``rec_kind, rec_id, n_sentences, n_removed, text``.
+
+    One row per record and distinct text; what is kept is kept as it is, blank sentences among it. Null texts give no row.
+    """
+    runs = sentence_runs(entries, files, length).where("NOT first").groupBy("rec_kind", "rec_id").agg(F.collect_set("sentence_no").alias("at"))
+    rows = _texts(entries, files).join(runs, ["rec_kind", "rec_id"], "left")
+    none = F.array().cast("array<int>")
+    filled = F.filter(F.sequence(F.lit(0), F.size("pieces") - 1), lambda i: F.col("pieces")[i]["s"] != "")  # the piece of each sentence
+    covered = F.array_distinct(F.flatten(F.transform(F.coalesce("at", none), lambda i: F.slice("filled", i + 1, length))))
+    rows = rows.withColumn("filled", filled).withColumn("gone", covered)
+    out = rows.withColumn("kept", F.when(F.size("gone") == 0, F.col("pieces")).otherwise(F.filter("pieces", lambda p, i: ~F.array_contains("gone", i))))
+    return out.select(
+        "rec_kind", "rec_id", F.size("filled").alias("n_sentences"), F.size("gone").alias("n_removed"),
+        F.array_join(F.transform("kept", lambda p: p["raw"]), "").alias("text"),
+    )

@@ -80,6 +80,31 @@ def test_span_shares_and_sentences(spark):
     assert len(runs) == 20  # ten runs of three in either record
 
 
+def test_texts_without_repeats(spark):
+    same = "One thing. Two things! Three things?\nFour things. "
+    kinds = "id string, content string"
+    entries = spark.createDataFrame([("a", "Own start. " + same + "End."), ("b", same + "\n\nTail of b."), ("c", None), ("d", ""), ("e", same[:20])], kinds)
+    files = spark.createDataFrame([(7, " " + same)], "pr_file_id bigint, patch string")
+    got = {r.rec_id: (r.n_sentences, r.n_removed, r.text) for r in p1.without_repeats(entries, files).collect()}
+    assert got == {"a": (6, 0, "Own start. " + same + "End."), "b": (5, 4, "\n\nTail of b."), "d": (0, 0, ""), "e": (2, 0, same[:20]), "7": (4, 4, "")}
+
+
+def test_hot_spans_are_split(spark):
+    """A stretch that all records carry: the join of its occurrences is spread over tasks."""
+    set_to = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB"}
+    before = {k: spark.conf.get(k) for k in set_to}
+    for k, v in set_to.items():
+        spark.conf.set(k, v)
+    try:
+        many = spark.range(40000).select((F.col("id") % 5).alias("h"), F.col("id").alias("rid")).withColumn("h", F.when(F.col("h") < 4, F.lit(1)).otherwise(F.col("rid")))
+        occurrences = p1.stage(many.repartition(8), "hot")
+        joined = occurrences.join(p1._shared(occurrences, "h"), "h")
+        assert joined.count() == 32000 and joined.collect() and "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.integers(1, 12))
 def test_sliding_minimum(keys, width):
