@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": lambda s, d: p5.found(table(s, d, "parse_result"), table(s, d, "lang_ext")),
     "p5_origins": lambda s, d: p5.by_repo(table(s, d, "parse_result"), table(s, d, "lang_ext")),
     "p6_found": lambda s, d: p6.found(table(s, d, "parse_result"), table(s, d, "lang_ext")),
+    "p6_reports": lambda s, d: p6.reports(table(s, d, "parse_result"), table(s, d, "lang_ext")),
     "p6_rates": lambda s, d: p6.rates(table(s, d, "parse_result"), table(s, d, "lang_ext")),
     "p7_found": lambda s, d: p7.found(table(s, d, "documents"), table(s, d, "container_plan")),
     "p7_places": lambda s, d: p7.documents(table(s, d, "documents"), table(s, d, "container_plan")),

@@ -167,8 +167,8 @@ WORDS = {
     "comment heredoc template tag escape separator terminator newline regex regexp number numeral operand sequence marker markers merge file program source stream line nesting closing opening",
     "SIDE": "closing close opening open left right curly square round angle single double leading trailing multi multiline raw quoted matching",
     "STYLE": "type types return returns doc docs documentation import imports variable variables call calls default value values parameter parameters argument arguments whitespace tabs spaces module modules "
-    "annotation docstring test tests header license copyright newline_at version config map timeout plugin rule rules package dependency dependencies handler",
-    "LIMIT": "most least longer larger limit limits exceeds exceeded budget timed timeout skipped fallback restarted worker deprecated shadowed unused",
+    "annotation docstring test tests header license copyright version config map timeout rule rules package dependency dependencies handler",
+    "LIMIT": "most least longer larger limit limits exceeds exceeded budget timed timeout skipped fallback restarted deprecated shadowed unused",
     "CONFLICT": "conflict conflicts conflicting",
     "BE": "is was were are be has had have does",
 }
@@ -218,30 +218,59 @@ def _grammar() -> Lang:
 
 
 GRAMMAR = _grammar()
+#: Remembered nodes of languages; beyond them the memory starts afresh, as nested reports have derivatives without end.
+MOST_NODES = 200_000
 
 
 @lru_cache(100_000)
-def _shape_breaks(shape: tuple[str, ...]) -> bool:
-    return parse(GRAMMAR, list(shape))[0] == "accepted"
+def _shape(shape: tuple[str, ...]) -> tuple[str, int]:
+    global GRAMMAR
+    if len(_made) > MOST_NODES:
+        _made.clear()
+        GRAMMAR = _grammar()
+    return parse(GRAMMAR, list(shape))
+
+
+def read(report: str | None) -> tuple[str, int, str | None]:
+    """What a report turns out to be, the number of its tokens taken, and the token that failed: ('fault', n, None) if it
+    says that the text is not valid in its language; ('other', i, token) if its token i (from 0) leaves no way to say so;
+    ('cut off', n, None) if it ends before it has said anything of the kind. Null and empty reports are cut off."""
+    if not report:
+        return "cut off", 0, None
+    outcome, n = _shape(tuple(tokens(report)))
+    return {"accepted": "fault", "failed": "other", "truncated": "cut off"}[outcome], n, _TOKEN.findall(report)[n] if outcome == "failed" else None
 
 
 def breaks_grammar(report: str | None) -> bool:
     """Whether a report says that the text is not valid in its language."""
-    return bool(report) and _shape_breaks(tuple(tokens(report)))
+    return read(report)[0] == "fault"
 
 
 # -- operators -----------------------------------------------------------------------------------------
 
 
-def reports_fault(messages: Column) -> Column:
-    """Number of messages in an array of them that say the text breaks the grammar; null counts 0."""
+READ = "array<struct<outcome:string,at:int,token:string>>"
+
+
+def outcomes(messages: Column) -> Column:
+    """What each of an array of messages turns out to be, see :func:`read`; null for a null array."""
 
-    @F.pandas_udf("int")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(READ)
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = ("outcome", "at", "token")
         for rows in batches:
-            yield pd.Series([0 if r is None else sum(map(breaks_grammar, r)) for r in rows], dtype="int32")
+            yield pd.Series([None if r is None else [dict(zip(names, read(m), strict=True)) for m in r] for r in rows])
 
-    return count(messages)
+    return each(messages)
+
+
+def _read(parses: DataFrame, lang_ext: DataFrame) -> DataFrame:
+    """One row per (``repo``, ``file``) of its latest parse: ``lang``, ``messages`` and what they turn out to be, ``read`` (null without messages)."""
+    messages = F.transform("errors", lambda e: e["message"])
+    files = with_language(latest(parses.withColumn("messages", messages), "language", "messages"), lang_ext).select("repo", "file", "lang", "messages")
+    none = F.coalesce(F.size("messages"), F.lit(0)) <= 0
+    some = files.where(~none).withColumn("read", outcomes(F.col("messages")))
+    return some.unionByName(files.where(none).withColumn("read", F.lit(None).cast(READ)))
 
 
 def flag(parses: DataFrame, lang_ext: DataFrame) -> DataFrame:
@@ -250,14 +279,22 @@ def flag(parses: DataFrame, lang_ext: DataFrame) -> DataFrame:
     Of parses at one time the one ingested last, then the greatest ``parse_id`` counts. Null errors, null
     messages and empty messages report nothing. Null repos and files are values like others.
     """
-    messages = F.transform("errors", lambda e: e["message"])
-    files = with_language(latest(parses.withColumn("messages", messages), "language", "messages"), lang_ext)
-    none = F.coalesce(F.size("messages"), F.lit(0)) <= 0
-    some = files.where(~none).withColumn("n_faults", reports_fault(F.col("messages")))
-    every = some.unionByName(files.where(none).withColumn("n_faults", F.lit(0)))
+    n = F.coalesce(F.size(F.filter("read", lambda r: r["outcome"] == "fault")), F.lit(0))
+    every = _read(parses, lang_ext).withColumn("n_faults", F.greatest(n, F.lit(0)))
     return every.select("repo", "file", "lang", "n_faults", (F.col("n_faults") == 0).alias("valid"))
 
 
+def reports(parses: DataFrame, lang_ext: DataFrame) -> DataFrame:
+    """One row per report of a file's latest parse: ``repo, file, lang, report_no`` (from 0), ``message``, and with the meaning of :func:`read`
+    ``outcome``, ``failed_at`` and ``failed_token`` (null unless the outcome is 'other'), and ``truncated``."""
+    each = _read(parses, lang_ext).where("read IS NOT NULL").select("repo", "file", "lang", F.posexplode(F.arrays_zip("messages", "read")).alias("report_no", "z"))
+    r, other = F.col("z.read"), F.col("z.read.outcome") == "other"
+    return each.select(
+        "repo", "file", "lang", "report_no", F.col("z.messages").alias("message"), r["outcome"].alias("outcome"), F.when(other, r["at"]).alias("failed_at"),
+        r["token"].alias("failed_token"), (r["outcome"] == "cut off").alias("truncated"),
+    )
+
+
 def rates(parses: DataFrame, lang_ext: DataFrame) -> DataFrame:
     """Files, invalid files and their share per repository and language; a null ``lang`` stands for all of a repository, a null ``repo`` with ``all_repos`` for all."""
     sets = flag(parses, lang_ext).groupingSets([["repo", "lang"], ["repo"], ["lang"]], "repo", "lang")

@@ -127,6 +127,13 @@ def test_origins(spark):
     assert p5.found(*tables(spark, rows)).count() == sum(v != "hand-written" for v in got.values())
     assert p5.classify(*tables(spark, [])).count() == 0
 
+def test_layout_alone(spark):
+    """No telling names or imports: only the lines speak, each language against its own files."""
+    rows = [parse(i, f"src/a{i}.{e}", loc=80 + 5 * (i % 30), comments=(80 + 5 * (i % 30)) * (3 if e == "py" else 20) // 100, volume=(30.0 + i % 11) * (80 + 5 * (i % 30)), functions=3 + i % 4, lang=n) for i, (e, n) in enumerate([("py", "python"), ("ts", "typescript")] * 60)]
+    rows += [parse(200, "src/x.ts", loc=2000, comments=0, functions=280, lang="typescript"), parse(201, "src/y.py", loc=40, volume=60000.0), parse(202, "src/z.ts", loc=3000, comments=0, functions=0, lang="typescript"), parse(203, "src/w.ts", loc=210, comments=42, functions=7, lang="typescript", volume=7000.0)]
+    got = {r.file: r.origin for r in p5.classify(*tables(spark, rows)).collect()}
+    assert {k: v for k, v in got.items() if v != "hand-written"} == {"src/x.ts": "generated", "src/y.py": "minified", "src/z.ts": "data"}
+
 
 FAULTS = ["Unexpected token '}'", "unterminated string literal", "Parse error at MISSING", "expected ')' but reached end of file", "SyntaxError: invalid syntax", "cannot parse statement near =>", "stray '@' in program", "';' expected", "unexpected indent", "EOF while scanning triple-quoted string literal", "merge conflict marker encountered", "a.py:3:7: error: missing closing brace"]
 STYLE = ["Unexpected default value for x", "Missing return type on f", "Parse timed out after 500 ms", "Parser worker restarted, attempt 2", "Expected at most 5 parameters by house style", "Error handler of f is empty", "Unable to load grammar, parsed as text", "Mixed tabs and spaces", "", "File skipped: larger than 512 KB", "Line longer than 120 characters"]
@@ -136,6 +143,18 @@ def test_reports():
     assert [m for m in FAULTS if not p6.breaks_grammar(m)] == [] and [m for m in [*STYLE, None] if p6.breaks_grammar(m)] == []
 
 
+def test_failing_tokens_and_ends(spark, monkeypatch):
+    assert p6.read("Line longer than 120 characters")[0] == "other" and p6.read("unexpected")[0] == "cut off" and p6.read(None) == ("cut off", 0, None)
+    outcome, at, token = p6.read("Missing return type on f")
+    assert outcome == "other" and token == p6._TOKEN.findall("Missing return type on f")[at] == "return"
+    rows = [parse(1, "a.py", errors=["unexpected indent", "Missing return type on f", None, "unexpected"]), parse(2, "b.py", errors=()), parse(3, "c.py", errors=None)]
+    got = [(r.file, r.report_no, r.outcome, r.failed_token, r.truncated) for r in p6.reports(*tables(spark, rows)).orderBy("report_no").collect()]
+    assert got == [("a.py", 0, "fault", None, False), ("a.py", 1, "other", "return", False), ("a.py", 2, "cut off", None, True), ("a.py", 3, "cut off", None, True)]
+    monkeypatch.setattr(p6, "MOST_NODES", 0)  # the memory may start afresh at any report
+    p6._shape.cache_clear()
+    assert [m for m in FAULTS if not p6.breaks_grammar(m)] == [] and [m for m in STYLE if p6.breaks_grammar(m)] == []
+
+
 def test_derivatives():
     a, b = p6.tok("a"), p6.tok("b")
     nested = p6.Lang("ref")  # a^n b^n, which no regular expression describes
