@@ -94,6 +94,20 @@ def latency_counts(updates: DataFrame, runs: DataFrame) -> DataFrame:
     return merge_counts([part(updates, "agent", "agent_id", "update_id", "latency_ms"), part(runs, "bench", "name", "run_id", "p95_latency_ms")], ["grp_kind", "grp_key"])
 
 
+def daily_sketch(updates: DataFrame, runs: DataFrame, percents: list[float], rel_error: float = 0.01) -> DataFrame:
+    """Percentiles of the same readings within ``rel_error`` of their value, from states of single days: the state of a group and day
+    is bounded by its bins whatever the readings, and merging the days' states is all that a longer period takes."""
+    valid = lambda v: (v >= 0) & (v < float("inf")) & ~F.isnan(v)
+
+    def days(df: DataFrame, kind: str, key: str, id_col: str, value: str) -> DataFrame:
+        rows = df.where(F.col(key).isNotNull() & valid(F.col(value).cast("double")))
+        rows = rows.select(F.lit(kind).alias("grp_kind"), F.col(key).alias("grp_key"), F.to_date("ts").alias("day"), id_col, value)
+        return value_counts(rows, ["grp_kind", "grp_key", "day"], value, id_col, rel_error)
+
+    states = [days(updates, "agent", "agent_id", "update_id", "latency_ms"), days(runs, "bench", "name", "run_id", "p95_latency_ms")]
+    return percentiles(merge_counts(states, ["grp_kind", "grp_key"]), ["grp_kind", "grp_key"], percents)
+
+
 def found(updates: DataFrame, runs: DataFrame) -> DataFrame:
     got = percentiles(latency_counts(updates, runs), ["grp_kind", "grp_key"], [AGENT_PERCENT, BENCH_PERCENT], LEAST_READINGS)
     agent = (F.col("grp_kind") == "agent") & (F.col("percent") == AGENT_PERCENT) & (F.col("value") > AGENT_ABOVE)

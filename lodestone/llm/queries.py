@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_percentiles": lambda s, d: p2.percentiles(
         p2.latency_counts(table(s, d, "pheromone_update"), table(s, d, "benchmark_result")), ["grp_kind", "grp_key"], [50.0, 90.0, 95.0, 99.0]
     ),
+    "p2_sketch": lambda s, d: p2.daily_sketch(table(s, d, "pheromone_update"), table(s, d, "benchmark_result"), [50.0, 90.0, 95.0, 99.0]).withColumn("value", F.round("value", 6)),
     "p3_found": lambda s, d: p3.found(table(s, d, "memory_entry"), table(s, d, "search_query")),
     "p3_neighbours": lambda s, d: p3.memory(table(s, d, "memory_entry"), table(s, d, "search_query")),
     "p4_found": lambda s, d: p4.found(table(s, d, "pr_file")),
@@ -89,6 +90,11 @@ ORACLE: dict[str, str] = {
     SELECT grp_kind, grp_key, p::DOUBLE AS percent, v AS value, n AS n_values
     FROM k, (VALUES (50), (90), (95), (99)) t(p) WHERE i = (p * n + 99) // 100
     """,
+    "p2_sketch": f"""
+    WITH r AS ({_READINGS}), b AS (SELECT grp_kind, grp_key, CASE WHEN v = 0 THEN 0 ELSE pow(1.01 / 0.99, ceil(ln(v) / ln(1.01 / 0.99))) * 2 / (1.01 / 0.99 + 1) END AS v FROM r),
+    k AS (SELECT *, row_number() OVER (PARTITION BY grp_kind, grp_key ORDER BY v) AS i, count(*) OVER (PARTITION BY grp_kind, grp_key) AS n FROM b)
+    SELECT grp_kind, grp_key, p::DOUBLE AS percent, round(v, 6) AS value, n AS n_values FROM k, (VALUES (50), (90), (95), (99)) t(p) WHERE i = (p * n + 99) // 100
+    """,
     "p7_found": f"""
     SELECT doc_id FROM documents JOIN (SELECT lane, max(capacity_tokens) AS cap FROM container_plan GROUP BY lane) USING (lane) WHERE {_SIZE} > cap
     """,
