@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import running_sums
 from lodestone.plans.shared import ship, stage
 
 ALPHA, SEED = 0.3, 0.5
@@ -76,17 +77,139 @@ def ema(events: DataFrame, key: str, order: list[str], value: str, alpha: float
     return weighed.groupBy(F.col("k").alias(key)).agg((seed * F.pow(F.lit(decay), F.sum("n")) + alpha * F.sum("w")).alias("ema"), F.sum("n").alias("n"))
 
 
+def _runs(v: np.ndarray, decay: float) -> np.ndarray:
+    """s_i = decay * s_(i-1) + v_i of one run, in blocks of 64."""
+    n = len(v)
+    blocks = np.concatenate((v, np.zeros(-n % 64))).reshape(-1, 64)
+    i = np.arange(64)
+    out = blocks @ np.where(i[:, None] <= i[None, :], decay ** np.maximum(i[None, :] - i[:, None], 0), 0.0)
+    carry = 0.0
+    for row in out:
+        row += carry * decay ** (i + 1)
+        carry = row[-1]
+    return out.ravel()[:n]
+
+
 def ema_history(events: DataFrame, key: str, order: list[str], value: str, alpha: float = ALPHA, seed: float = SEED) -> DataFrame:
-    """Events with ``ema`` after each of them, for keys of bounded length: the key's events are one ordered array."""
-    lists = events.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v")))).alias("l"))
-    run = F.aggregate("l", F.array().cast("array<double>"), lambda a, e: F.concat(a, F.array(alpha * e["v"] + (1 - alpha) * F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(seed)))))
-    return lists.select(key, F.posexplode(F.arrays_zip(F.col("l"), run.alias("e"))).alias("pos", "z")).select(key, *[F.col(f"z.l.{o}").alias(o) for o in order], F.col("z.e").alias("ema"))
+    """(key, order, ema, n): the key's moving average after each of its events, and how many they are so far.
+
+    As in :func:`ema` events are sorted into ranges, each is folded by itself, and the few rows per key and range carry the average
+    from range to range; a hot key is spread over ranges. Null values are left out; null keys are a key.
+    """
+    ship(events.sparkSession)
+    types = {f.name: f.dataType.simpleString() for f in events.schema}
+    rows = events.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), *order, F.col(value).cast("double").alias("v"))
+    ranged = rows.repartitionByRange("k", *order).sortWithinPartitions("k", *order).withColumn("part", F.spark_partition_id())
+    decay = 1 - alpha
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple | None = None  # key, count and sum that the last batch ended with
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            k, v = pdf["k"], pdf["v"].to_numpy()
+            new = (k.ne(k.shift()) & ~(k.isna() & k.shift().isna())).to_numpy()
+            new[0] = True
+            starts = np.append(np.flatnonzero(new), len(pdf))
+            m, s = np.empty(len(pdf), np.int64), np.empty(len(pdf))
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                name = None if pd.isna(k.iloc[a]) else k.iloc[a]
+                m[a:b], s[a:b] = np.arange(1, b - a + 1), _runs(v[a:b], decay)
+                if a == 0 and last is not None and last[0] == name:
+                    s[a:b] += last[2] * decay ** m[a:b]
+                    m[a:b] += last[1]
+                last = (name, int(m[b - 1]), float(s[b - 1]))
+            yield pdf[["k", *order, "part"]].assign(m=m, s=s)
+
+    folded = stage(ranged.mapInPandas(fold, ", ".join([f"k {types[key]}", *[f"{o} {types[o]}" for o in order], "part int, m bigint, s double"])), "ema-history")
+    parts = folded.groupBy("k", "part").agg(F.max("m").alias("n"), F.max_by("s", "m").alias("s"))
+    # one element per range that the key is spread over
+    l = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("part", "n", "s"))).alias("l"))
+    none = F.array().cast("array<struct<part:int,before:bigint,start:double,n:bigint,end:double>>")
+    put = lambda acc, e: F.concat(acc, F.array(F.struct(
+        e["part"].alias("part"), F.coalesce(F.try_element_at(acc, F.lit(-1))["n"], F.lit(0)).cast("bigint").alias("before"), F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(seed)).alias("start"),
+        (F.coalesce(F.try_element_at(acc, F.lit(-1))["n"], F.lit(0)) + e["n"]).cast("bigint").alias("n"),
+        (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(seed)) * F.pow(F.lit(decay), e["n"]) + alpha * e["s"]).alias("end"),
+    )))
+    carried = l.select(F.col("k").alias("__k"), F.explode(F.aggregate("l", none, put)).alias("c")).select("__k", F.col("c.part").alias("__part"), "c.before", "c.start")
+    joined = folded.join(carried, F.col("k").eqNullSafe(F.col("__k")) & (F.col("part") == F.col("__part")))
+    return joined.select(F.col("k").alias(key), *order, (F.col("start") * F.pow(F.lit(decay), F.col("m")) + alpha * F.col("s")).alias("ema"), (F.col("before") + F.col("m")).alias("n"))
+
+
+# fixed values: roles never suspended, events before an agent is judged, and the share of the mean that it must reach
+PROTECTED, WARM_UP, THETA = ("coordinator", "queen", "security"), 3, 0.6
+
+
+def eligibility(events: DataFrame, agents: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Each event (key, order, ema, n) with ``threshold`` and ``eligible`` as they were right after it, and the key's ``suspensions`` and ``recoveries`` so far.
+
+    An agent is eligible while its role is protected or it has less than WARM_UP events; else if its average reaches THETA of the mean
+    over all agents warmed up by then. That mean needs no replay: an agent's average depends on its own events alone, so each
+    event changes the sum over agents by a known amount, and running sums over all events in order give every moment's mean.
+    ``order`` must be unique. ``agents`` has the key and ``role``; others have no role. Events of a null key are left out.
+    """
+    steps = ema_history(events.where(F.col(key).isNotNull()), key, order, value)
+    mine = Window.partitionBy(key, "__block").orderBy("n")
+    # an agent's own last average: within blocks of its events, and across them by the block's first row
+    blocks = steps.withColumn("__block", F.expr("(n - 1) div 65536"))
+    ends = blocks.groupBy(key, "__block").agg(F.max_by("ema", "n").alias("__end")).select(key, (F.col("__block") + 1).alias("__block"), "__end")
+    steps = blocks.withColumn("__lag", F.lag("ema").over(mine)).join(ends, [key, "__block"], "left").withColumn("__lag", F.coalesce("__lag", "__end"))
+    change = F.when(F.col("n") > WARM_UP, F.col("ema") - F.col("__lag")).when(F.col("n") == WARM_UP, F.col("ema"))
+    summed = running_sums(steps.select(key, *order, "ema", "n", change.alias("__c")), [], order, {"__sum": F.col("__c"), "__warm": (F.col("n") == WARM_UP).cast("bigint")})
+    roles = agents.select(F.col(key).alias("__a"), "role").dropDuplicates(["__a"])
+    judged = summed.withColumn("threshold", THETA * F.try_divide(F.col("__sum"), F.nullif("__warm", F.lit(0)))).join(roles, F.col(key) == F.col("__a"), "left")
+    free = F.coalesce(F.col("role").isin(*PROTECTED), F.lit(False)) | (F.col("n") < WARM_UP)
+    judged = judged.select(key, *order, "ema", "n", "threshold", (free | (F.col("ema") >= F.col("threshold"))).alias("eligible"))
+    # every agent begins eligible
+    before = Window.partitionBy(key, "__block").orderBy("n")
+    marked = judged.withColumn("__block", F.expr("(n - 1) div 65536"))
+    ends = marked.groupBy(key, "__block").agg(F.max_by("eligible", "n").alias("__end")).select(key, (F.col("__block") + 1).alias("__block"), "__end")
+    marked = marked.withColumn("__was", F.lag("eligible").over(before)).join(ends, [key, "__block"], "left").withColumn("__was", F.coalesce("__was", "__end", F.lit(True)))
+    flips = {"suspensions": (F.col("__was") & ~F.col("eligible")).cast("bigint"), "recoveries": (~F.col("__was") & F.col("eligible")).cast("bigint")}
+    return running_sums(marked.select(key, *order, "ema", "n", "threshold", "eligible", "__was"), [key], order, flips).drop("__was")
+
+
+def suspend(agents: DataFrame, which: Column) -> DataFrame:
+    """``agents`` with the chosen ones made ineligible and their ``suspension_count`` raised, eligible before or not."""
+    hit = F.coalesce(which, F.lit(False))
+    return agents.withColumns({"eligible": F.when(hit, False).otherwise(F.col("eligible")), "suspension_count": F.col("suspension_count") + hit.cast("int")})
+
+
+def recover(agents: DataFrame, which: Column) -> DataFrame:
+    """``agents`` with each chosen one recovered by itself: 0.1 more score (1 at most), then judged again against all agents as they
+    are, its own new score among them; one that becomes eligible so has a recovery more."""
+    warm = F.col("sample_count") >= WARM_UP
+    means = agents.agg(F.sum(F.when(warm, F.col("ema_score"))).alias("__sum"), F.count_if(warm & F.col("ema_score").isNotNull()).alias("__n"))
+    raised = F.least(F.lit(1.0), F.col("ema_score") + 0.1)
+    threshold = THETA * F.try_divide(F.col("__sum") + F.when(warm, raised - F.col("ema_score")).otherwise(0.0), F.nullif("__n", F.lit(0)))
+    free = F.coalesce(F.col("role").isin(*PROTECTED), F.lit(False)) | ~warm | threshold.isNull()
+    hit, good = F.coalesce(which, F.lit(False)), F.coalesce(free | (raised >= threshold), F.lit(False))
+    both = agents.crossJoin(F.broadcast(means)).withColumns({"__hit": hit, "__good": good, "__raised": raised, "__judged": ~free})  # one row of sums
+    again = F.col("__hit") & F.col("__judged") & ~F.col("eligible") & F.col("__good")
+    out = both.withColumns({
+        "recovery_attempts": F.col("recovery_attempts") + F.coalesce(again, F.lit(False)).cast("int"),
+        "suspension_count": F.col("suspension_count") + F.coalesce(F.col("__hit") & F.col("__judged") & F.col("eligible") & ~F.col("__good"), F.lit(False)).cast("int"),
+        "ema_score": F.when(F.col("__hit"), F.col("__raised")).otherwise(F.col("ema_score")),
+    })
+    return out.withColumn("eligible", F.when(F.col("__hit"), F.col("__good")).otherwise(F.col("eligible"))).select(*agents.columns)
+
+
+def in_flight(spans: DataFrame, start: str, end: str, most: int) -> DataFrame:
+    """(at, running, waits): how many spans run from each moment one begins or ends on, ends taken first, and whether a limit of ``most`` is passed.
+
+    One row per moment. Spans with a null end run on; those with a null start never ran.
+    """
+    begins = spans.where(F.col(start).isNotNull()).select(F.col(start).alias("at"), F.lit(1).cast("bigint").alias("d"))
+    ends = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(F.col(end).alias("at"), F.lit(-1).cast("bigint").alias("d"))
+    moments = begins.unionByName(ends).groupBy("at").agg(F.sum("d").alias("d"))
+    return running_sums(moments, [], ["at"], {"running": F.col("d")}).select("at", "running", (F.col("running") > most).alias("waits"))
 
 
 def running_average(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """The mean of each event's key up to it."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("running_avg", F.avg(value).over(w)).withColumn("running_n", F.count(value).over(w))
+    """The mean of each event's key up to it, ``running_avg``, and of how many values, ``running_n``; ``order`` must be unique within a key."""
+    v = F.col(value).cast("double")
+    sums = running_sums(events, keys, order, {"__sum": v, "running_n": v.isNotNull().cast("bigint")})
+    return sums.withColumn("running_avg", F.try_divide(F.col("__sum"), F.nullif("running_n", F.lit(0)))).drop("__sum")
 
 
 def alert_episodes(samples: DataFrame, key: str, order: str, breached: Column) -> DataFrame:

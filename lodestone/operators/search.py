@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import bm25, tokens
+from lodestone.operators.ranking import running_sums
 from lodestone.plans.shared import ship
 
 #: Query vectors sent to all tasks at once; more of them are searched in several passes over the items.
@@ -23,34 +24,57 @@ def usable(vector: Column, dim: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _best(found: pa.Table, limits: np.ndarray) -> pa.Table:
+    """The rows (q, value, id) among the greatest ``limits[q]`` values of their query, of equal ones those with the smaller ids."""
+    found = found.sort_by([("q", "ascending"), ("value", "descending"), ("id", "ascending")])
+    q = found.column("q").to_numpy()
+    return found.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < limits[q]))
+
+
 def knn(queries: DataFrame, items: DataFrame, dim: int, k: int, space: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(qid, id, distance, rank): the ``k`` nearest items of each query, exactly; ties go to the smaller id.
 
-    Both sides have columns ``id`` and ``vector``. Rows with an unusable vector or a null id are left out. Items are
-    scanned in blocks against the queries; a task returns at most ``k`` rows a query and block, so the shuffle
-    does not grow with the items' vectors. ``space`` is 'cosine', 'l2' (squared) or 'ip'; distances are rounded to nine decimals.
+    Both sides have columns ``id`` and ``vector``; where ``queries`` has a column ``k`` (never null), each has its own number, ``k`` at most.
+    Rows with an unusable vector or a null id are left out. Items are scanned in blocks against the queries by as many tasks as
+    there are cores; a task keeps its best rows of each query over all its blocks, so the shuffle is a number of rows per query and
+    task that does not grow with the items. ``space`` is 'cosine', 'l2' (squared) or 'ip'; distances are rounded to nine decimals.
     """
     spark = queries.sparkSession
     ship(spark)
-    good = lambda df: df.where(F.col("id").isNotNull() & usable(F.col("vector"), dim)).select("id", F.col("vector").cast("array<double>").alias("vector"))
-    queries, items = good(queries), good(items)
-    passes = max(1, -(-queries.count() * dim * 8 // broadcast_bytes))
-    kind = items.schema["id"].dataType.simpleString()
+    good = lambda df: df.where(F.col("id").isNotNull() & usable(F.col("vector"), dim))
+    limit = F.least(F.col("k"), F.lit(k)) if "k" in queries.columns else F.lit(k)
+    queries = good(queries).select("id", F.col("vector").cast("array<double>").alias("vector"), limit.cast("int").alias("k"))
+    items = good(items).select("id", F.col("vector").cast("array<double>").alias("vector")).coalesce(spark.sparkContext.defaultParallelism)
+    passes = max(1, -(-queries.count() * (dim * 8 + k * 24) // broadcast_bytes))
     parts = []
     for i in range(passes):
         some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i)
         rows = some.toPandas()  # at most about broadcast_bytes
         matrix = np.array(rows["vector"].tolist(), dtype=np.float64).reshape(len(rows), dim)
-        sent = spark.sparkContext.broadcast((pa.array(rows["id"]), matrix))
+        sent = spark.sparkContext.broadcast((pa.array(rows["id"]), matrix, rows["k"].to_numpy(dtype=np.int64)))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            q = q / np.linalg.norm(q, axis=1, keepdims=True) if space == "cosine" and len(q) else q
+            ids, q, limits = sent.value
+            if not len(q):
+                return
+            q = q / np.linalg.norm(q, axis=1, keepdims=True) if space == "cosine" else q
+            most = int(limits.max())
+            least = np.full(len(q), -np.inf)  # what a value must reach to be among a query's best so far
+            held: list[pa.Table] = []
+            n_held = 0
+
+            def shrink() -> None:
+                nonlocal held, n_held
+                best = _best(pa.concat_tables(held), limits).combine_chunks()
+                held, n_held = [best], best.num_rows
+                at = best.column("q").to_numpy()
+                ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else np.empty(0, int)
+                full = ends[np.diff(np.concatenate(([-1], ends))) == limits[at[ends]]]
+                least[at[full]] = best.column("value").to_numpy()[full]
+
             for batch in batches:
-                if not batch.num_rows or not len(q):
+                if not batch.num_rows:
                     continue
-                order = pa.compute.sort_indices(batch.column("id"))
-                batch = batch.take(order)
                 x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 if space == "cosine":
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -59,22 +83,29 @@ def knn(queries: DataFrame, items: DataFrame, dim: int, k: int, space: str = "co
                     if space == "l2":
                         near = 2 * near - (q[s : s + 512] ** 2).sum(1)[:, None] - (x**2).sum(1)[None, :]
                     near = np.round(near, 9)
-                    keep = np.ones_like(near, dtype=bool)
-                    if near.shape[1] > k:  # the best k, of equal ones those with the smaller ids
-                        cut = np.partition(near, near.shape[1] - k, axis=1)[:, -k][:, None]
-                        above, equal = near > cut, near == cut
-                        keep = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-                    a, b = np.nonzero(keep)
-                    value = near[a, b]
-                    out = 1 - value if space in ("cosine", "ip") else -value
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + s)), batch.column("id").take(pa.array(b)), pa.array(np.round(out, 9))], names=["qid", "id", "distance"])
-
-        parts.append(items.mapInArrow(scan, f"qid {queries.schema['id'].dataType.simpleString()}, id {kind}, distance double"))
+                    bound = least[s : s + 512, None]
+                    if near.shape[1] > most:
+                        bound = np.maximum(bound, np.partition(near, near.shape[1] - most, axis=1)[:, -most][:, None])
+                    a, b = np.nonzero(near >= bound)
+                    held.append(pa.table({"q": pa.array(a + s), "value": pa.array(near[a, b]), "id": batch.column("id").take(pa.array(b))}))
+                    n_held += len(a)
+                    if n_held > 4 * most * max(512, len(q)):
+                        shrink()
+            if held:
+                shrink()
+                out = held[0]
+                value = out.column("value").to_numpy()
+                distance = 1 - value if space in ("cosine", "ip") else -value
+                at = out.column("q").to_numpy()
+                yield from pa.table({"qid": ids.take(pa.array(at)), "id": out.column("id"), "distance": pa.array(np.round(distance, 9)), "k": pa.array(limits[at].astype(np.int32))}).to_batches()
+
+        fields = f"qid {queries.schema['id'].dataType.simpleString()}, id {items.schema['id'].dataType.simpleString()}, distance double, k int"
+        parts.append(items.mapInArrow(scan, fields))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+    return every.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).drop("k")
 
 
 def hybrid_score(similarity: Column, text_score: Column, reward: Column) -> Column:
@@ -88,9 +119,9 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, dim: int, k: int = 10,
 
     ``queries``: id, vector, text, k (null: ``k``; at most ``most``); ``entries``: id, vector, content, reward. Ties go to the smaller id.
     """
-    hits = knn(queries, entries, dim, most)
+    hits = knn(queries.select("id", "vector", F.coalesce("k", F.lit(k)).alias("k")), entries, dim, most)
     # the entries' texts meet the hits by id; only the hits are shuffled in full
-    joined = hits.join(queries.select(F.col("id").alias("qid"), "text", F.least(F.coalesce("k", F.lit(k)), F.lit(most)).alias("k")), "qid").where(F.col("rank") <= F.col("k"))
+    joined = hits.join(queries.select(F.col("id").alias("qid"), "text"), "qid")
     joined = joined.drop("rank").join(entries.select("id", "content", "reward"), "id")
     terms = F.filter(tokens(F.col("text")), lambda t: t != "")
     text_score = F.when(F.col("text").isNotNull(), bm25(F.col("content"), terms))
@@ -129,14 +160,15 @@ def mmr(ranked: DataFrame, vectors: DataFrame, alpha: float = 0.7, lam: float =
 
 
 def index_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at place floor(n * share) of a group's sorted values, for each named share; nulls left out.
+    """Values at place floor(n * share) of a group's sorted values, for each named share, with the group's ``n`` and ``mean``; nulls left out.
 
-    Works on counts per value, so a hot group costs its distinct values.
+    Works on counts per value, summed in ranges of the sorted counts, so that a hot group is not gathered, however many its values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(group)
-    upto = F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    runs = counts.withColumn("__upto", upto).withColumn("__n", F.sum("__c").over(w))
-    at = {name: F.least(F.floor(F.col("__n") * s), F.col("__n") - 1) for name, s in shares.items()}
-    picks = [F.min(F.when(F.col("__upto") > p, F.col("__v"))).alias(name) for name, p in at.items()]
-    return runs.groupBy(group).agg(F.max("__n").alias("n"), (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("mean"), *picks)
+    runs = running_sums(counts, [group], ["__v"], {"__upto": F.col("__c")})
+    sizes = counts.groupBy(group).agg(F.sum("__c").alias("n"), (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("mean"))
+    l, r = runs.alias("l"), sizes.alias("r")
+    both = l.join(r, F.col(f"l.{group}").eqNullSafe(F.col(f"r.{group}")))
+    at = {name: F.least(F.floor(F.col("r.n") * s), F.col("r.n") - 1) for name, s in shares.items()}
+    picks = [F.min(F.when((F.col("l.__upto") > p), F.col("l.__v"))).alias(name) for name, p in at.items()]
+    return both.groupBy(F.col(f"r.{group}").alias(group)).agg(F.max("r.n").alias("n"), F.max("r.mean").alias("mean"), *picks)
