@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.queries import aggregates, code, events, graphs, more, store, streams, text, vectors  # noqa: F401  (they register)
+from lodestone.queries import aggregates, changes, code, events, graphs, learned, more, registry, store, streams, text, vectors  # noqa: F401  (they register)
 from lodestone.queries.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -117,7 +117,7 @@ def sort_imports(code: Column) -> Column:
     return F.when(F.size(imports) > 0, F.array_join(F.concat(imports, F.array(F.lit("")), rest), "\n")).otherwise(code)
 
 
-#: name, pattern that calls for it, rewrite; the first that matches applies
+# fixed values: name, pattern that calls for it, rewrite; the first that matches applies
 CODEMODS = (
     ("const-conversion", r"\bvar\s+\w+\s*=", var_to_const),
     ("remove-console", r"console\.(log|warn|error|info|debug)\(", drop_console),
@@ -152,6 +152,11 @@ def template_names(template: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{\{([A-Za-z0-9_]+)\}\}"), F.lit(1)))
 
 
+def variable_state(value: Column, default: Column, required: Column) -> Column:
+    """'given', 'default', or without either 'missing' if required, else 'empty'."""
+    return F.when(value.isNotNull(), "given").when(default.isNotNull(), "default").when(required, "missing").otherwise("empty")
+
+
 def title_of_steps(actions: Column) -> Column:
     """Distinct first words of the actions, joined."""
     return F.concat(F.array_join(F.array_distinct(F.transform(actions, lambda a: F.split_part(a, F.lit("_"), F.lit(1)))), " + "), F.lit(" Strategy"))
@@ -161,17 +166,54 @@ def describe_steps(actions: Column, reward: Column) -> Column:
     return F.concat(F.lit("Steps: "), F.array_join(actions, " → "), F.lit(". Reward: "), F.format_string("%.2f", reward))
 
 
+# fixed values: what a change is called by its kind, and what its decision says
+PREFIXES = {"added": "Introduce", "renamed": "Refactor", "deleted": "Update dependency"}
+DECISIONS = {
+    "renamed": "Refactor the identified code to improve maintainability and reduce technical debt.",
+    "added": "Create a new module with clear boundaries and well-defined interfaces.",
+    "deleted": "Update the dependency to the specified version with compatibility checks.",
+}
+
+
+def decision_title(kind: Column, file: Column, description: Column) -> Column:
+    """Prefix by kind, the file's own name ('system' without one) and 50 characters of the description."""
+    prefix = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in PREFIXES.items()], F.lit("Change"))
+    name = F.when(file.isNull(), "system").otherwise(F.element_at(F.split(file, "/"), -1))
+    return F.concat(prefix, F.lit(" "), name, F.lit(": "), F.left(F.coalesce(description, F.lit("")), F.lit(50)))
+
+
+def context_section(trigger: Column, n_files: Column, modules: Column) -> Column:
+    return F.concat(F.lit("## Context\n\n**Trigger:** "), F.coalesce(trigger, F.lit("")), F.lit("\n**Affected Files:** "), n_files.cast("string"), F.lit("\n**Affected Modules:** "), F.array_join(modules, ", "))
+
+
+def decision_section(kind: Column) -> Column:
+    return F.concat(F.lit("## Decision\n\n"), F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in DECISIONS.items()], F.lit("Apply the necessary changes.")))
+
+
 def effort(n_files: Column, weight: Column) -> Column:
     """Two weighted hours a file as hours, days of 8 or weeks of 40."""
     hours = n_files * 2 * weight
     return F.when(hours < 8, F.concat(F.ceil(hours).cast("string"), F.lit(" hours"))).when(hours < 40, F.concat(F.ceil(hours / 8).cast("string"), F.lit(" days"))).otherwise(F.concat(F.ceil(hours / 40).cast("string"), F.lit(" weeks")))
 
 
+# fixed values: points and patterns
+UNSAFE = (
+    (30, r"""(?i)api[_-]?key\s*[:=]\s*['"][^'"]+['"]"""),
+    (30, r"""(?i)password\s*[:=]\s*['"][^'"]+['"]"""),
+    (30, r"""(?i)secret\s*[:=]\s*['"][^'"]+['"]"""),
+    (30, r"""(?i)token\s*[:=]\s*['"][^'"]+['"]"""),
+    (20, r"""query\s*\(\s*['"].*\$\{.*\}.*['"]"""),
+    (20, r"""execute\s*\(\s*['"].*\$\{.*\}.*['"]"""),
+    (15, r"innerHTML\s*="),
+    (15, r"dangerouslySetInnerHTML"),
+)
+
+
 def code_findings(code: Column) -> Column:
-    """Points lost for patterns of unsafe code: 30 for a literal secret, 20 for SQL put together from parts, 15 for markup written unescaped."""
-    rules = (
-        (30, r"""(?i)(api[_-]?key|password|secret|token)\s*[:=]\s*['"][^'"]{8,}['"]"""),
-        (20, r"(?i)(query|execute)\s*\([^)]*(\+|\$\{)"),
-        (15, r"(innerHTML\s*=|dangerouslySetInnerHTML|document\.write\()"),
-    )
-    return sum((F.when(code.rlike(p), F.lit(n)).otherwise(0) for n, p in rules), F.lit(0))
+    """Points lost for patterns of unsafe code, each once: 30 for a literal secret, 20 for SQL put together from parts, 15 for markup written unescaped."""
+    return sum((F.when(code.rlike(p), F.lit(n)).otherwise(0) for n, p in UNSAFE), F.lit(0))
+
+
+def code_issues(code: Column) -> Column:
+    """How many of the patterns of unsafe code occur; null counts none."""
+    return sum((F.when(code.rlike(p), 1).otherwise(0) for _, p in UNSAFE), F.lit(0))

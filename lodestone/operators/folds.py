@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,20 +246,46 @@ def previous(events: DataFrame, key: str, at: str, bucket: Column) -> DataFrame:
     return joined.select(*[F.col(f"l.{c}") for c in events.columns], F.when(F.col("l.__first"), F.col("r.__prior")).otherwise(F.col("l.__lag")).alias("__before"))
 
 
+def lru_caches(access: DataFrame, cache: str, order: str, op: str, key: str, capacity: int) -> DataFrame:
+    """(cache, place, key): final content, oldest use first (place 0), of caches of ``capacity`` after their accesses in order: a 'get' renews a
+    key held, a 'set' of a key already held does not. A cache's accesses are sequential by nature: they stream through one task, which holds
+    the content of one cache. Rows with a null order come first; null caches and keys are values like others."""
+    ship(access.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in access.schema}
+    rows = access.select(F.col(cache).alias("c"), F.col(order).alias("o"), F.col(op).alias("op"), F.col(key).alias("k")).repartition("c").sortWithinPartitions("c", "o")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        now: list = []
+
+        def content() -> pa.RecordBatch:
+            n = len(held)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * n, schema.field("c").type), pa.array(range(n), pa.int32()), pa.array(list(held), schema.field("k").type)], names=["c", "place", "k"])
+
+        for batch in batches:
+            schema = batch.schema
+            for c, o, k in zip(batch.column("c").to_pylist(), batch.column("op").to_pylist(), batch.column("k").to_pylist(), strict=True):
+                if not now or now[0] != c:
+                    if now:
+                        yield content()
+                    held, now = {}, [c]
+                if o == "get":
+                    if k in held:
+                        held[k] = held.pop(k)
+                elif k not in held:
+                    if len(held) >= capacity:
+                        held.pop(next(iter(held)))
+                    held[k] = True
+        if now:
+            yield content()
+
+    return rows.mapInArrow(run, f"c {kinds[cache]}, place int, k {kinds[key]}").select(F.col("c").alias(cache), "place", F.col("k").alias(key))
+
+
 def lru(access: DataFrame, order: str, op: str, key: str, capacity: int) -> list[tuple]:
-    """Final content, oldest use first, of a cache of ``capacity`` after the accesses in order: a 'get' renews a key, a
-    'set' of a key already held does not. Sequential by nature: the accesses stream through the driver one by one."""
-    held: dict = {}
-    for r in access.select(op, key).orderBy(order).toLocalIterator(prefetchPartitions=True):
-        o, k = r
-        if o == "get":
-            if k in held:
-                held[k] = held.pop(k)
-        elif k not in held:
-            if len(held) >= capacity:
-                held.pop(next(iter(held)))
-            held[k] = True
-    return list(held)
+    """The final content of one cache, as :func:`lru_caches` tells: at most ``capacity`` keys, oldest use first."""
+    got = lru_caches(access.withColumn("__cache", F.lit(0)), "__cache", order, op, key, capacity)
+    return [r[0] for r in got.orderBy("place").select(key).collect()]
 
 
 def majority(votes: DataFrame, proposal: str, voter: str, order: list[str], vote: str, n_voters: int) -> DataFrame:

@@ -91,6 +91,11 @@ def short_cycles(edges: DataFrame, most: int = 3) -> DataFrame:
     return out
 
 
+def dependents(edges: DataFrame) -> DataFrame:
+    """Distinct (node, dependent): whatever leads to a node over any number of edges, but itself."""
+    return closure(edges).where("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("dependent"))
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     """(target, importers): who points to a node, sorted."""
     return edges.groupBy(F.col("dst").alias("target")).agg(F.array_sort(F.collect_set("src")).alias("importers"))
@@ -103,4 +108,4 @@ def degree_coupling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return sums.select("edges", "nodes", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("edges").cast("double"), "nodes"), F.lit(0.0))).alias("coupling"))
 
 
-__all__ = ["closure", "degree_coupling", "drop_staged", "import_edges", "layers", "on_cycles", "resolve_path", "reverse", "short_cycles", "stem"]
+__all__ = ["closure", "degree_coupling", "dependents", "drop_staged", "import_edges", "layers", "on_cycles", "resolve_path", "reverse", "short_cycles", "stem"]

@@ -84,6 +84,18 @@ def collapsed(stats: DataFrame, n_experts: int) -> DataFrame:
     return stats.where(F.col("usage") < 0.1 / n_experts)
 
 
+def recovered(stats: DataFrame, n_experts: int) -> DataFrame:
+    """Experts with ``reset``, whether they had collapsed, and the ``load`` they go on with: none after a reset, else their ``n``."""
+    reset = F.col("usage") < 0.1 / n_experts
+    return stats.withColumns({"reset": reset, "load": F.when(reset, 0).otherwise(F.col("n"))})
+
+
+def loads(experts: DataFrame) -> DataFrame:
+    """(expert_id, load, rebalanced, target): a load less one, and a load less a tenth of the mean; neither below 0."""
+    mean = F.avg("load").over(Window.partitionBy(F.lit(1)))  # one row per expert
+    return experts.select("expert_id", "load", F.greatest(F.lit(0), F.col("load") - 1).alias("rebalanced"), F.greatest(F.lit(0.0), F.col("load") - 0.1 * mean).alias("target"))
+
+
 def rank_tools(tasks: DataFrame, tools: DataFrame) -> DataFrame:
     """Best tool of each task (task_id, text): 1 per hit of a task word in the tool's words, half of 4 less its tier, 1 if not
     destructive; of equal ones the first by ``ord``. ``tools`` is a catalogue: tool, ord, words, tier, destructive."""
@@ -103,3 +115,15 @@ def tool_for(required: Column, tools: list[tuple[str, list[str]]]) -> Column:
 
 def fallbacks(tool: Column, tools: list[str], n: int = 3) -> Column:
     return F.slice(F.filter(F.array(*map(F.lit, tools)), lambda t: t != tool), 1, n)
+
+
+def weigh(candidates: DataFrame, key: str, criteria: dict[str, tuple[float, float]], least: float) -> DataFrame:
+    """(key, score, passed): the weighted mean of columns named by ``criteria`` (weight, least value), passed if all reach theirs and the mean ``least``."""
+    total = sum(w for w, _ in criteria.values())
+    score = sum((F.col(c) * w for c, (w, _) in criteria.items()), F.lit(0.0)) / total
+    met = [F.col(c) >= at for c, (_, at) in criteria.items()] + [F.col("score") >= least]
+    out = candidates.withColumn("score", score)
+    every = met[0]
+    for m in met[1:]:
+        every = every & m
+    return out.select(key, "score", every.alias("passed"))

@@ -31,20 +31,21 @@ def _best(found: pa.Table, limits: np.ndarray) -> pa.Table:
     return found.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < limits[q]))
 
 
-def knn(queries: DataFrame, items: DataFrame, dim: int, k: int, space: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def knn(queries: DataFrame, items: DataFrame, dim: int, k: int, space: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES, cells: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """(qid, id, distance, rank): the ``k`` nearest items of each query, exactly; ties go to the smaller id.
 
     Both sides have columns ``id`` and ``vector``; where ``queries`` has a column ``k`` (never null), each has its own number, ``k`` at most.
     Rows with an unusable vector or a null id are left out. Items are scanned in blocks against the queries by as many tasks as
     there are cores; a task keeps its best rows of each query over all its blocks, so the shuffle is a number of rows per query and
-    task that does not grow with the items. ``space`` is 'cosine', 'l2' (squared) or 'ip'; distances are rounded to nine decimals.
+    task that does not grow with the items. With ``cells`` (centroids, probes), items have a column ``cell``, and a query only
+    meets those of as many cells as it probes. ``space`` is 'cosine', 'l2' (squared) or 'ip'; distances are rounded to nine decimals.
     """
     spark = queries.sparkSession
     ship(spark)
     good = lambda df: df.where(F.col("id").isNotNull() & usable(F.col("vector"), dim))
     limit = F.least(F.col("k"), F.lit(k)) if "k" in queries.columns else F.lit(k)
     queries = good(queries).select("id", F.col("vector").cast("array<double>").alias("vector"), limit.cast("int").alias("k"))
-    items = good(items).select("id", F.col("vector").cast("array<double>").alias("vector")).coalesce(spark.sparkContext.defaultParallelism)
+    items = good(items).select("id", F.col("vector").cast("array<double>").alias("vector"), *(["cell"] if cells else [])).coalesce(spark.sparkContext.defaultParallelism)
     passes = max(1, -(-queries.count() * (dim * 8 + k * 24) // broadcast_bytes))
     parts = []
     for i in range(passes):
@@ -59,6 +60,9 @@ def knn(queries: DataFrame, items: DataFrame, dim: int, k: int, space: str = "co
                 return
             q = q / np.linalg.norm(q, axis=1, keepdims=True) if space == "cosine" else q
             most = int(limits.max())
+            everyone = np.arange(len(q))
+            if cells:
+                near_cells = np.argsort(-(q @ cells[0].T), axis=1)[:, : cells[1]]
             least = np.full(len(q), -np.inf)  # what a value must reach to be among a query's best so far
             held: list[pa.Table] = []
             n_held = 0
@@ -78,16 +82,21 @@ def knn(queries: DataFrame, items: DataFrame, dim: int, k: int, space: str = "co
                 x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 if space == "cosine":
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                for s in range(0, len(q), 512):
-                    near = q[s : s + 512] @ x.T
+                ids_here = batch.column("id")
+                jobs = [(everyone, np.arange(len(x)))]  # which queries meet which of the rows
+                if cells:
+                    cell = batch.column("cell").to_numpy()
+                    jobs = [(np.flatnonzero((near_cells == c).any(axis=1)), np.flatnonzero(cell == c)) for c in np.unique(cell)]
+                for who, those in ((w[s : s + 512], r) for w, r in jobs for s in range(0, len(w), 512)):
+                    near = q[who] @ x[those].T
                     if space == "l2":
-                        near = 2 * near - (q[s : s + 512] ** 2).sum(1)[:, None] - (x**2).sum(1)[None, :]
+                        near = 2 * near - (q[who] ** 2).sum(1)[:, None] - (x[those] ** 2).sum(1)[None, :]
                     near = np.round(near, 9)
-                    bound = least[s : s + 512, None]
+                    bound = least[who, None]
                     if near.shape[1] > most:
                         bound = np.maximum(bound, np.partition(near, near.shape[1] - most, axis=1)[:, -most][:, None])
                     a, b = np.nonzero(near >= bound)
-                    held.append(pa.table({"q": pa.array(a + s), "value": pa.array(near[a, b]), "id": batch.column("id").take(pa.array(b))}))
+                    held.append(pa.table({"q": pa.array(who[a]), "value": pa.array(near[a, b]), "id": ids_here.take(pa.array(those[b]))}))
                     n_held += len(a)
                     if n_held > 4 * most * max(512, len(q)):
                         shrink()

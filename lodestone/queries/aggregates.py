@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import numbers as n
-from lodestone.operators import learning, routing
+from lodestone.operators import folds, learning, routing
 from lodestone.queries.base import FILES, MEMORY, UPDATES, Tables, query, r6
 
 # -- aggregations ------------------------------------------------------------------------------------
@@ -18,38 +18,21 @@ def _means(t: Tables):
     return t.files.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), avg("cyclomatic_complexity").alias("cc"), avg("cognitive_complexity").alias("cognitive"), F.round(F.sum("metrics.maintainability_index"), 3).alias("mi_sum"))
 
 
-@query("agg_async_ratio", f"WITH {FILES} SELECT repo, round(avg(CASE WHEN len(list_filter(imports, lambda i: contains(i.source, 'async'))) > 0 THEN 1.0 ELSE 0.0 END), 6) AS ratio, sum(n_functions)::BIGINT AS functions FROM files GROUP BY 1")
-def _async(t: Tables):
-    has = F.coalesce(F.exists("imports", lambda i: F.contains(i["source"], F.lit("async"))), F.lit(False))
-    return t.files.groupBy("repo").agg(r6(F.avg(has.cast("double"))).alias("ratio"), F.sum("n_functions").alias("functions"))
-
-
 @query("agg_flag_score", "SELECT lane, least(100, greatest(0, 50 + 2 * count_if(contains(text, 'cache')) - count_if(contains(text, 'TODO'))))::BIGINT AS score FROM documents GROUP BY 1")
 def _flag(t: Tables):
     score = 50 + 2 * F.count_if(F.contains("text", F.lit("cache"))) - F.count_if(F.contains("text", F.lit("TODO")))
     return t.documents.groupBy("lane").agg(F.least(F.lit(100), F.greatest(F.lit(0), score)).cast("bigint").alias("score"))
 
 
-@query("agg_vuln_surface", f"WITH {FILES} SELECT repo, greatest(0, 100 - 5 * sum(coalesce(len(errors), 0)))::BIGINT AS surface FROM files GROUP BY 1")
-def _surface(t: Tables):
-    return t.files.groupBy("repo").agg(F.greatest(F.lit(0), 100 - 5 * F.sum(F.greatest(F.coalesce(F.size("errors"), F.lit(0)), F.lit(0)))).cast("bigint").alias("surface"))
-
-
-@query("agg_param_groups", f"WITH {FILES} SELECT repo, k, count(*) AS n FROM (SELECT repo, array_to_string(i.specifiers, ',') AS k FROM (SELECT repo, unnest(imports) AS i FROM files) WHERE len(i.specifiers) >= 2) GROUP BY 1, 2 HAVING count(*) >= 3")
-def _params(t: Tables):
-    each = t.files.select("repo", F.explode("imports").alias("i")).where(F.size("i.specifiers") >= 2).select("repo", F.array_join("i.specifiers", ",").alias("k"))
-    return each.groupBy("repo", "k").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-
-
 @query("agg_tpl_by_category", "SELECT lang, list(DISTINCT source ORDER BY source) AS sources FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def _category(t: Tables):
     return t.documents.where("source IS NOT NULL").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-@query("agg_global_ema", "SELECT round(avg(CASE WHEN sample_count >= 3 THEN ema_score END), 6) AS mean, round(coalesce(avg(CASE WHEN sample_count >= 3 THEN ema_score END), 0.5) * 0.7, 6) AS threshold FROM agent_pheromone")
+@query("agg_global_ema", "SELECT round(avg(CASE WHEN sample_count >= 3 THEN ema_score END), 6) AS mean, round(coalesce(avg(CASE WHEN sample_count >= 3 THEN ema_score END), 0.5) * 0.6, 6) AS threshold FROM agent_pheromone")
 def _global(t: Tables):
     mean = F.avg(F.when(F.col("sample_count") >= 3, F.col("ema_score")))
-    return t.agent_pheromone.agg(r6(mean).alias("mean"), r6(F.coalesce(mean, F.lit(0.5)) * 0.7).alias("threshold"))
+    return t.agent_pheromone.agg(r6(mean).alias("mean"), r6(F.coalesce(mean, F.lit(0.5)) * folds.THETA).alias("threshold"))
 
 
 @query("agg_swarm_status", "SELECT count(*) AS agents, count_if(eligible) AS eligible, count_if(suspension_count > 0) AS suspended, round(count_if(eligible)::DOUBLE / greatest(1, count(*)), 6) AS share FROM agent_pheromone")
@@ -69,12 +52,6 @@ def _exec(t: Tables):
     return t.updates.groupBy(day).agg(F.count_if("success").alias("done"), F.count_if(~F.col("success")).alias("failed"), F.sum("tool_calls").alias("calls"), F.countDistinct("agent_id").alias("agents"))
 
 
-@query("agg_plan_totals", "SELECT sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, list(DISTINCT status ORDER BY status) AS statuses FROM (SELECT DISTINCT pr_file_id, additions, deletions, status FROM pr_file)")
-def _plan(t: Tables):
-    once = t.pr_file.select("pr_file_id", "additions", "deletions", "status").distinct()
-    return once.agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.array_sort(F.collect_set("status")).alias("statuses"))
-
-
 @query("agg_bench_pass", "SELECT name, round(avg((p50_latency_ms <= 100)::INT), 6) AS passed, count(*) AS n FROM (SELECT DISTINCT run_id, name, p50_latency_ms FROM benchmark_result) GROUP BY 1")
 def _pass(t: Tables):
     runs = t.benchmark_result.select("run_id", "name", "p50_latency_ms").distinct()
@@ -133,12 +110,6 @@ def _delta(t: Tables):
     return deltas(t).select("name", r6("delta").alias("delta"), n.severity(F.col("delta"), F.lit(True)).alias("severity"))
 
 
-@query("agg_flywheel", f"WITH {MEMORY} SELECT metadata.domain AS domain, round(sum(reward * (tier + 1)) / sum(CASE WHEN reward IS NOT NULL THEN tier + 1 END), 6) AS score, bool_and(reward >= 0.1) AS passed FROM memory GROUP BY 1")
-def _flywheel(t: Tables):
-    w = F.col("tier") + 1
-    return t.memory.groupBy(F.col("metadata.domain").alias("domain")).agg(r6(F.sum(F.col("reward") * w) / F.sum(F.when(F.col("reward").isNotNull(), w))).alias("score"), F.bool_and(F.col("reward") >= 0.1).alias("passed"))
-
-
 
 
 # -- statistics --------------------------------------------------------------------------------------
@@ -239,12 +210,15 @@ def _moe(t: Tables):
     return routed(t).select("doc_id", routing.best_expert(F.col("s")).alias("b")).select("doc_id", "b.expert", r6("b.confidence").alias("confidence"))
 
 
-@query("num_spectral", None)
+@query("num_spectral", f"""WITH {_ROUTE}, a AS (SELECT doc_id, avg(s) AS a, stddev_pop(s) AS d FROM s GROUP BY 1), p AS (SELECT doc_id, i, s - 0.1 * (s - a) / (d + 1e-8) AS p FROM s JOIN a USING (doc_id)),
+    q AS (SELECT doc_id, max(p) AS top, min_by(i, (-round(p, 9), i)) AS i, sum(exp(p)) AS z FROM p GROUP BY 1) SELECT doc_id, 'expert-' || i AS expert, round(exp(top) / z, 6) AS confidence FROM q""")
 def _spectral(t: Tables):
     return routed(t).select("doc_id", routing.spectral_expert(F.col("s")).alias("b")).select("doc_id", "b.expert", r6("b.confidence").alias("confidence"))
 
 
-@query("num_topk_routing", None)
+@query("num_topk_routing", f"""WITH {_ROUTE}, k AS (SELECT doc_id, greatest(1, least(12, ceil(least(1.0, least(coalesce(length(text), 0) / 1000.0, 0.3) + 0.2 + 0.1) * 12)))::INT AS k FROM documents),
+    l AS (SELECT doc_id, list({{'e': 'expert-' || i, 's': s}} ORDER BY s DESC, i) AS l FROM s GROUP BY 1)
+    SELECT doc_id, list_transform(l[1:k], lambda x: x.e) AS experts, round(l[1].s / nullif(list_sum(list_transform(l[1:k], lambda x: x.s)), 0), 6)::DOUBLE AS confidence FROM l JOIN k USING (doc_id)""")
 def _topk(t: Tables):
     width = routing.complexity(F.col("text"), F.lit(2), F.lit(1), F.lit(""))
     both = t.documents.select("doc_id", routing.expert_scores(F.col("text"), F.lit("systems")).alias("s"), width.alias("w"))
@@ -257,13 +231,31 @@ def _complexity(t: Tables):
 
 
 @query("agg_expert_stats", f"WITH {_ROUTE} SELECT 'expert-' || e.i AS expert_id, count(m.doc_id) AS n, round(count(m.doc_id)::DOUBLE / sum(count(m.doc_id)) OVER (), 6) AS usage, round(coalesce(avg(exp(top) / z), 0), 6) AS confidence FROM (SELECT range AS i FROM range(12)) e LEFT JOIN m ON m.i = e.i GROUP BY e.i")
-@query("join_expert_hist", f"WITH {_ROUTE} SELECT 'expert-' || e.i AS expert_id, count(m.doc_id) AS n, round(count(m.doc_id)::DOUBLE / sum(count(m.doc_id)) OVER (), 6) AS usage, round(coalesce(avg(exp(top) / z), 0), 6) AS confidence FROM (SELECT range AS i FROM range(12)) e LEFT JOIN m ON m.i = e.i GROUP BY e.i")
 def _stats(t: Tables):
     b = routed(t).select(routing.best_expert(F.col("s")).alias("b")).select(F.col("b.expert").alias("expert_id"), "b.confidence")
     got = routing.expert_stats(routing.experts(t.spark), b)
     return got.select("expert_id", "n", r6("usage").alias("usage"), r6("confidence").alias("confidence"))
 
 
+@query("join_expert_hist", f"WITH {_ROUTE} SELECT 'expert-' || e.i AS expert_id, m.doc_id, round(exp(top) / z, 6) AS confidence FROM (SELECT range AS i FROM range(12)) e LEFT JOIN m ON m.i = e.i")
+def _hist(t: Tables):
+    """Every expert with the documents routed to it; one that was never chosen comes once, without a document."""
+    b = routed(t).select("doc_id", routing.best_expert(F.col("s")).alias("b")).select("doc_id", F.col("b.expert").alias("expert_id"), r6("b.confidence").alias("confidence"))
+    return routing.experts(t.spark).select("expert_id").join(b, "expert_id", "left")
+
+
+@query("misc_recover_collapse", f"WITH {_ROUTE}, u AS (SELECT e.i, count(m.doc_id) AS n, count(m.doc_id)::DOUBLE / sum(count(m.doc_id)) OVER () AS u FROM (SELECT range AS i FROM range(12)) e LEFT JOIN m ON m.i = e.i GROUP BY e.i) SELECT 'expert-' || i AS expert_id, u < 0.1 / 12 AS reset, CASE WHEN u < 0.1 / 12 THEN 0 ELSE n END AS load FROM u")
+def _recover(t: Tables):
+    """Collapsed experts begin anew: no load, and weights generated again from their domain (see misc_expert_weights)."""
+    return routing.recovered(_stats(t), 12).select("expert_id", "reset", "load")
+
+
+@query("st_load", f"WITH {_ROUTE}, u AS (SELECT e.i, count(m.doc_id) AS n FROM (SELECT range AS i FROM range(12)) e LEFT JOIN m ON m.i = e.i GROUP BY e.i) SELECT 'expert-' || i AS expert_id, n AS load, greatest(0, n - 1) AS rebalanced, round(greatest(0, n - 0.1 * (SELECT avg(n) FROM u)), 6)::DOUBLE AS target FROM u")
+def _load(t: Tables):
+    """Load after all routes, after one round of rebalancing, and the soft target: a tenth of the mean less."""
+    return routing.loads(_stats(t).select("expert_id", F.col("n").alias("load"))).withColumn("target", r6("target"))
+
+
 @query("agg_collapse", f"WITH {_ROUTE}, u AS (SELECT e.i, count(m.doc_id)::DOUBLE / sum(count(m.doc_id)) OVER () AS u FROM (SELECT range AS i FROM range(12)) e LEFT JOIN m ON m.i = e.i GROUP BY e.i) SELECT 'expert-' || i AS expert_id FROM u WHERE u < 0.1 / 12")
 def _collapse(t: Tables):
     return routing.collapsed(_stats(t), 12).select("expert_id")
@@ -278,7 +270,6 @@ def _tool(t: Tables):
 
 
 @query("rnk_tool_for_pattern", f"WITH {MEMORY} SELECT id, CASE WHEN len(list_filter(metadata.tags, lambda x: x NOT IN ('cache', 'memory', 'layer'))) = 0 THEN 'cache' WHEN len(list_filter(metadata.tags, lambda x: x NOT IN ('agent', 'worker', 'queue'))) = 0 THEN 'queue' ELSE 'cache' END AS tool FROM memory WHERE metadata.tags IS NOT NULL")
-@query("join_pattern_tool", f"WITH {MEMORY} SELECT id, CASE WHEN len(list_filter(metadata.tags, lambda x: x NOT IN ('cache', 'memory', 'layer'))) = 0 THEN 'cache' WHEN len(list_filter(metadata.tags, lambda x: x NOT IN ('agent', 'worker', 'queue'))) = 0 THEN 'queue' ELSE 'cache' END AS tool FROM memory WHERE metadata.tags IS NOT NULL")
 def _for(t: Tables):
     tools = [("cache", ["cache", "memory", "layer"]), ("queue", ["agent", "worker", "queue"])]
     return t.memory.where("metadata.tags IS NOT NULL").select("id", routing.tool_for(F.col("metadata.tags"), tools).alias("tool"))
@@ -291,13 +282,13 @@ def _fallbacks(t: Tables):
 
 # -- learning ----------------------------------------------------------------------------------------
 
-_P = f"{MEMORY}, p AS (SELECT id, reward, length(id) AS n, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS p FROM memory WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(embedding) >= 16)"
+_P = f"{MEMORY}, p AS (SELECT id, reward, updated_at, length(id) AS n, list_transform(embedding, lambda x: x::DOUBLE) AS p FROM memory WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(embedding) >= 16)"
 
 
 def params(t: Tables):
     finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = t.memory.where(F.col("embedding").isNotNull() & finite & (F.size("embedding") >= 16))
-    return rows.select("id", "reward", F.length("id").alias("n"), F.col("embedding").cast("array<double>").alias("p"))
+    return rows.select("id", "reward", "updated_at", F.length("id").alias("n"), F.col("embedding").cast("array<double>").alias("p"))
 
 
 _R6 = lambda c: F.transform(c, lambda x: F.round(x, 6))
@@ -318,28 +309,39 @@ def _fema(t: Tables):
     return params(t).select("id", _R6(learning.fisher_ema(F.col("p"), F.col("p"))).alias("f"))
 
 
-@query("num_bank_importance", f"WITH {MEMORY} SELECT id, list_transform(range(8), lambda i: round(greatest(0, 0.5 * reward + 0.5 + 0.1 * sin(length(id) + i)), 6)) AS v FROM memory WHERE reward IS NOT NULL")
+@query("num_bank_importance", f"WITH {MEMORY}, k AS (SELECT DISTINCT reward, length(id) AS n FROM memory WHERE reward IS NOT NULL), v AS (SELECT reward, n, list_transform(range(49152), lambda i: greatest(0, 0.5 * reward + 0.5 + 0.1 * sin(n + i))) AS v FROM k) SELECT id, round(list_avg(v), 6) AS mean, round(list_min(v), 6) AS least, round(list_max(v), 6) AS greatest FROM memory JOIN v ON v.reward = memory.reward AND v.n = length(id)")
 def _bank(t: Tables):
-    return t.memory.where("reward IS NOT NULL").select("id", _R6(learning.importance(F.col("reward"), F.length("id"), 8)).alias("v"))
+    """Importance of all 49,152 weights of a pattern, summed up."""
+    rows = t.memory.where("reward IS NOT NULL").select("id", "reward", F.length("id").alias("n"))
+    return learning.importance_summary(rows, "reward", "n", learning.WEIGHTS).select("id", r6("mean").alias("mean"), r6("least").alias("least"), r6("greatest").alias("greatest"))
 
 
 @query("num_ewc_loss", f"WITH {_P} SELECT id AS key, round(5 * list_sum(list_transform(p, lambda x: x * x * pow(x - 0.5 * x, 2))), 6) AS loss FROM p")
-@query("join_fisher_params", f"WITH {_P} SELECT id AS key, round(5 * list_sum(list_transform(p, lambda x: x * x * pow(x - 0.5 * x, 2))), 6) AS loss FROM p")
 def _ewc(t: Tables):
     rows = params(t)
     anchors = rows.select(F.col("id").alias("key"), F.transform("p", lambda x: 0.5 * x).alias("params"), learning.fisher(F.col("p")).alias("fisher"))
     return learning.ewc_loss(rows.select(F.col("id").alias("key"), F.col("p").alias("params")), anchors).withColumn("loss", r6("loss"))
 
 
-@query("agg_ewc_stats", f"WITH {_P} SELECT count(*) AS n, sum(len(p))::BIGINT AS params, round(avg(sqrt(list_sum(list_transform(p, lambda x: x * x * x * x)))), 6) AS norm FROM p")
+@query("join_fisher_params", f"WITH {_P}, o AS (SELECT DISTINCT ON (n) n, p AS f FROM p ORDER BY n, id) SELECT id, count(*) AS positions, round(sum(x * y), 6) AS product FROM (SELECT p.id, unnest(p.p[1:least(len(p.p), len(o.f))]) AS x, unnest(o.f[1:least(len(p.p), len(o.f))]) AS y FROM p JOIN o USING (n)) GROUP BY 1")
+def _fisher_join(t: Tables):
+    """Parameters of every row against those of the first of its key, position by position to the shorter one."""
+    rows = params(t).select("id", "n", "p")
+    other = rows.groupBy("n").agg(F.min_by("p", "id").alias("f"))
+    return learning.by_position(rows, other, "n", "p", "f").select("id", F.size("z").alias("positions"), r6(F.aggregate("z", F.lit(0.0), lambda a, e: a + e["p"] * e["f"])).alias("product"))
+
+
+@query("agg_ewc_stats", f"WITH {_P} SELECT count(*) AS n, sum(len(p))::BIGINT AS params, round(avg(sqrt(list_sum(list_transform(p, lambda x: x * x * x * x)))), 6) AS norm, count_if(updated_at > (SELECT max(updated_at) FROM p) - INTERVAL 24 HOUR) AS last_day FROM p")
 def _ewcs(t: Tables):
     length = F.sqrt(F.aggregate(learning.fisher(F.col("p")), F.lit(0.0), lambda a, x: a + x * x))
-    return params(t).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("p")).alias("params"), r6(F.avg(length)).alias("norm"))
+    rows = params(t)
+    recent = F.col("updated_at") > rows.agg(F.max("updated_at")).scalar() - F.expr("INTERVAL 24 HOURS")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("p")).alias("params"), r6(F.avg(length)).alias("norm"), F.count_if(recent).alias("last_day"))
 
 
-@query("agg_is_protected", f"WITH {_P} SELECT id, list_avg(list_transform(p, lambda x: x * x)) > 0.01 AS protected FROM p")
+@query("agg_is_protected", f"WITH {_P} SELECT id, list_avg(list_transform(p, lambda x: x * x)) > 0.5 AS protected FROM p")
 def _protected(t: Tables):
-    return params(t).select("id", (F.aggregate(learning.fisher(F.col("p")), F.lit(0.0), lambda a, x: a + x) / F.size("p") > 0.01).alias("protected"))
+    return params(t).select("id", (F.aggregate(learning.fisher(F.col("p")), F.lit(0.0), lambda a, x: a + x) / F.size("p") > learning.PROTECTED_FISHER).alias("protected"))
 
 
 @query("num_mode_scale", f"WITH {_P} SELECT p.id, list_transform(p, lambda x: round(x * CASE m.metadata.mode WHEN 'divergent' THEN 1.2 WHEN 'lateral' THEN 1.1 WHEN 'systems' THEN 1.3 WHEN 'critical' THEN 0.9 ELSE 1.0 END, 6) + 0.0::DOUBLE) AS v FROM p JOIN memory m ON m.id = p.id")
@@ -347,10 +349,10 @@ def _mode(t: Tables):
     return params(t).join(t.memory.select("id", F.col("metadata.mode").alias("mode")), "id").select("id", _R6(learning.scale_by_mode(F.col("p"), F.col("mode"))).alias("v"))
 
 
-@query("num_flatten", f"WITH {_P} SELECT id, list_concat(list_concat(p[1:8], p[9:16]), p[1:2]) AS v FROM p")
+@query("num_flatten", f"WITH {_P} SELECT id, list_concat(list_concat(p[1:len(p) // 2], p[len(p) // 2 + 1:]), p) AS v FROM p")
 def _flatten(t: Tables):
     p, half = F.col("p"), F.expr("size(p) div 2")
-    return params(t).select("id", learning.flatten_parts(F.array(F.slice(p, F.lit(1), half)), F.array(F.slice(p, half + 1, F.size(p) - half)), F.slice(p, 1, 2)).alias("v"))
+    return params(t).select("id", learning.flatten_parts(F.array(F.slice(p, F.lit(1), half)), F.array(F.slice(p, half + 1, F.size(p) - half)), p).alias("v"))
 
 
 @query("num_lora_apply", """WITH c AS (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)
@@ -373,11 +375,6 @@ def _judge(t: Tables):
     return learning.judge(runs, patterns).withColumn("support", r6("support"))
 
 
-@query("wf_transfer", f"WITH {MEMORY} SELECT id, reward, metadata.domain AS domain FROM memory WHERE metadata.domain = 'security' ORDER BY reward DESC NULLS LAST, id LIMIT 50")
-def _transfer(t: Tables):
-    return learning.top_of_domain(t.memory, "security", 50)
-
-
 @query("misc_experts", "SELECT 'expert-' || i AS expert_id, len(words) AS n_words, 100 AS capacity FROM (VALUES " + _SPECS + ") e(i, words)")
 def _experts(t: Tables):
     return routing.experts(t.spark).select("expert_id", F.size("words").alias("n_words"), "capacity")

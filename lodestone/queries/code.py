@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import quality
 from lodestone.queries.base import FILES, PATCHES, Tables, query, r6
+from lodestone.sources.store import latest
 
 _MAINT = """greatest(0.0, least(100.0, 100 - (CASE WHEN cc > 10 THEN least(30, (cc - 10) * 2) ELSE 0 END) - (CASE WHEN cog > 15 THEN least(25, (cog - 15) * 1.5) ELSE 0 END) - (CASE WHEN nest > 4 THEN least(15, (nest - 4) * 3) ELSE 0 END)
     + (CASE WHEN mi < 65 THEN -(65 - mi) * 0.5 WHEN mi > 85 THEN least(10, (mi - 85) * 0.3) ELSE 0 END)))"""
@@ -18,13 +19,18 @@ _SCORES = f"""{FILES}, base AS (SELECT *, metrics.cyclomatic_complexity::DOUBLE
 
 
 @query("num_file_total", f"WITH {_SCORES} SELECT repo, file, round(maintainability, 6) AS maintainability, scalability, security, performance, total FROM scores")
-@query("num_file_maint", f"WITH {_SCORES} SELECT repo, file, round(maintainability, 6) AS maintainability, scalability, security, performance, total FROM scores")
-@query("num_file_scal", f"WITH {_SCORES} SELECT repo, file, round(maintainability, 6) AS maintainability, scalability, security, performance, total FROM scores")
-@query("num_file_perf", f"WITH {_SCORES} SELECT repo, file, round(maintainability, 6) AS maintainability, scalability, security, performance, total FROM scores")
 def _scores(t: Tables):
     return quality.file_scores(t.files).withColumn("maintainability", r6("maintainability"))
 
 
+def _part(name: str, dimension: str):
+    query(name, f"WITH {_SCORES} SELECT repo, file, round({dimension}, 6) AS score FROM scores")(lambda t: quality.file_scores(t.files).select("repo", "file", r6(dimension).alias("score")))
+
+
+for _name, _dimension in (("num_file_maint", "maintainability"), ("num_file_scal", "scalability"), ("num_file_perf", "performance")):
+    _part(_name, _dimension)
+
+
 @query("agg_overall", f"WITH {_SCORES} SELECT repo, round(sum(maintainability), 4) AS maintainability, round(avg(scalability), 4) AS scalability, round(avg(performance), 4) AS performance, count(*) AS n FROM scores GROUP BY 1")
 def _overall(t: Tables):
     avg = lambda c: F.round(F.avg(c), 4).alias(c)
@@ -62,7 +68,6 @@ _RULES = f"""{FILES}, cls AS ({_CLASSES}), has AS (SELECT repo, file, count_if(c
 
 
 @query("ap_detect_all", f"WITH {_RULES} SELECT repo, file, rule, severity, subject, line FROM issues")
-@query("ap_issue", f"WITH {_RULES} SELECT repo, file, rule, severity, subject, line FROM issues")
 def _issues(t: Tables):
     return quality.issues(t.files)
 
@@ -91,8 +96,29 @@ def _critical(t: Tables):
     return quality.issues(t.files).where("severity = 'high'").groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("repo").alias("repos"))
 
 
-@query("st_incremental", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY repo, file ORDER BY parsed_at DESC NULLS LAST, ingested_at DESC NULLS LAST, parse_id DESC NULLS LAST) AS r FROM (SELECT DISTINCT ON (parse_id) * FROM parse_result))
-    SELECT repo, count_if(r = 1) AS files, count_if(r > 1) AS older FROM p GROUP BY 1""")
+_CUT = "TIMESTAMP '2025-04-01'"
+
+
+def _project(alias: str, where: str) -> str:
+    names = {"files AS (": f"{alias}_f AS (", "FROM files)": f"FROM {alias}_f)", "base AS (": f"{alias}_base AS (", "FROM base)": f"FROM {alias}_base)", "parts AS (": f"{alias}_parts AS (", "FROM parts)": f"FROM {alias}_parts)", "scores AS (": f"{alias}_scores AS ("}
+    sql = _SCORES.replace("FROM parse_result QUALIFY", f"FROM parse_result {where} QUALIFY")
+    for old, new in names.items():
+        sql = sql.replace(old, new)
+    return sql + f", {alias} AS (SELECT s.repo, floor(sum(total * metrics.lines_of_code) / nullif(sum(metrics.lines_of_code), 0) + 0.5)::BIGINT AS score, count(*) AS n FROM {alias}_scores s JOIN {alias}_f f ON f.repo = s.repo AND f.file = s.file WHERE metrics IS NOT NULL GROUP BY 1)"
+
+
+@query("st_incremental", f"""WITH {_project("old", f"WHERE parsed_at < {_CUT}")}, {_project("new", "")}, changed AS (SELECT repo, count(DISTINCT file) AS n_changed FROM parse_result WHERE parsed_at >= {_CUT} GROUP BY 1)
+    SELECT n.repo, o.score AS before, n.score AS after, n.score - o.score AS delta, coalesce(n_changed, 0) AS n_changed FROM new n LEFT JOIN old o ON o.repo = n.repo LEFT JOIN changed c ON c.repo = n.repo WHERE n.repo IS NOT NULL""")
 def _incremental(t: Tables):
-    once = t.parse_result.select("parse_id", "repo", "file").distinct()
-    return once.groupBy("repo").agg(F.countDistinct("file").alias("files"), (F.count(F.lit(1)) - F.countDistinct("file")).alias("older"))
+    """A project's score before and after the parses since April replaced those of their files, and the files they are of."""
+    late = F.col("parsed_at") >= F.expr("TIMESTAMP_NTZ '2025-04-01'")
+    every = t.parse_result.where("repo IS NOT NULL")
+    return quality.project_delta(every, late)
+
+
+@query("st_incremental_files", f"""WITH {_project("old", f"WHERE parsed_at < {_CUT}")}, {_project("new", "")} SELECT coalesce(n.repo, o.repo) AS repo, coalesce(n.file, o.file) AS file, o.total AS before, n.total AS after, n.total - o.total AS delta
+    FROM new_scores n FULL JOIN old_scores o ON o.repo = n.repo AND o.file = n.file WHERE coalesce(n.repo, o.repo) IS NOT NULL AND coalesce(n.file, o.file) IS NOT NULL""")
+def _delta(t: Tables):
+    every = t.parse_result.where("repo IS NOT NULL AND file IS NOT NULL")
+    state = lambda df: quality.file_scores(latest(df, ["repo", "file"], ["parsed_at", "ingested_at", "parse_id"]))
+    return quality.score_delta(state(every.where("parsed_at < TIMESTAMP_NTZ '2025-04-01'")), state(every))

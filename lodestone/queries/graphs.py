@@ -36,9 +36,8 @@ _EDGES = f"""{FILES},
     edges AS (SELECT DISTINCT repo, src, dst FROM r JOIN k USING (repo, stem) WHERE src <> dst)"""
 
 
-@query("gr_build", f"WITH {_EDGES} SELECT repo, src, dst FROM edges")
 @query("join_import_resolve", f"WITH {_EDGES} SELECT repo, src, dst FROM edges")
-def _build(t: Tables):
+def _resolve(t: Tables):
     return file_edges(t)
 
 
@@ -48,27 +47,60 @@ def _coupling(t: Tables):
     return graph.degree_coupling(file_edges(t), nodes)
 
 
-_PACKAGES = f"""{FILES}, pairs AS (SELECT DISTINCT repo, string_split(translate(file, chr(92), '/'), '/')[-2] AS src, split_part(i.source, '/', 2) AS dst FROM (SELECT repo, file, unnest(imports) AS i FROM files) WHERE starts_with(i.source, '../') AND NOT starts_with(i.source, '../../') AND contains(translate(file, chr(92), '/'), '/'))"""
+_PAIRS = f"""{FILES}, pairs AS (SELECT DISTINCT repo, file, string_split(translate(file, chr(92), '/'), '/')[-2] AS src, split_part(i.source, '/', 2) AS dst FROM (SELECT repo, file, unnest(imports) AS i FROM files) WHERE starts_with(i.source, '../') AND NOT starts_with(i.source, '../../') AND contains(translate(file, chr(92), '/'), '/'))"""
+_PACKAGES = _PAIRS  # repeated pairs change nothing there
+_FOLDERS = _PAIRS + """, edges AS (SELECT DISTINCT repo || ':' || src AS src, repo || ':' || dst AS dst FROM pairs WHERE src <> dst AND repo IS NOT NULL), nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"""
+_REACH = "c AS (SELECT src, dst, 1 AS depth FROM edges UNION SELECT c.src, e.dst, depth + 1 FROM c JOIN edges e ON e.src = c.dst WHERE depth < 40), reach AS (SELECT src, dst, min(depth) AS depth FROM c GROUP BY 1, 2)"
+
+
+def folder_imports(t: Tables):
+    """(repo, file, src, dst): a file in folder src imports from the sibling folder dst."""
+    path = F.translate("file", "\\", "/")
+    each = t.files.select("repo", "file", path.alias("p"), F.explode("imports").alias("i")).where(F.col("i.source").startswith("../") & ~F.col("i.source").startswith("../../") & F.contains("p", F.lit("/")))
+    return each.select("repo", "file", F.element_at(F.split("p", "/"), -2).alias("src"), F.split_part("i.source", F.lit("/"), F.lit(2)).alias("dst")).where("src <> dst").distinct()
+
+
+def folder_edges(t: Tables):
+    """The import graph of folders, each named with its repository. Imports name no file of the tables, so files have no edges."""
+    name = lambda c: F.concat("repo", F.lit(":"), c).alias(c)
+    return folder_imports(t).where("repo IS NOT NULL").select(name("src"), name("dst")).distinct()
 
 
 @query("gr_packages", f"WITH {_PACKAGES} SELECT dst AS target, list(DISTINCT src ORDER BY src) AS importers FROM pairs WHERE src <> dst GROUP BY 1")
-@query("gr_reverse", f"WITH {_PACKAGES} SELECT dst AS target, list(DISTINCT src ORDER BY src) AS importers FROM pairs WHERE src <> dst GROUP BY 1")
-def _reverse(t: Tables):
+def _packages(t: Tables):
     """Folders importing a folder, over all repositories."""
-    path = F.translate("file", "\\", "/")
-    each = t.files.select("repo", path.alias("p"), F.explode("imports").alias("i")).where(F.col("i.source").startswith("../") & ~F.col("i.source").startswith("../../") & F.contains("p", F.lit("/")))
-    edges = each.select(F.element_at(F.split("p", "/"), -2).alias("src"), F.split_part("i.source", F.lit("/"), F.lit(2)).alias("dst")).where("src <> dst").distinct()
-    return graph.reverse(edges)
+    return graph.reverse(folder_imports(t).select("src", "dst").distinct())
+
+
+@query("gr_build", f"WITH {_PAIRS} SELECT repo, src, dst, count(DISTINCT file) AS weight FROM pairs WHERE src <> dst GROUP BY 1, 2, 3")
+def _build(t: Tables):
+    """The folders' edges, weighted by the files that import."""
+    return folder_imports(t).groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query("gr_reverse", f"WITH {_FOLDERS} SELECT dst AS target, list(DISTINCT src ORDER BY src) AS importers FROM edges GROUP BY 1")
+def _reverse(t: Tables):
+    return graph.reverse(folder_edges(t))
 
 
-@query("gr_closure", f"WITH RECURSIVE {_TREE}, c AS (SELECT src, dst, 1 AS depth FROM edges UNION ALL SELECT c.src, e.dst, depth + 1 FROM c JOIN edges e ON e.src = c.dst) SELECT src, dst, depth FROM c")
-@query("gr_dependents", f"WITH RECURSIVE {_TREE}, c AS (SELECT src, dst, 1 AS depth FROM edges UNION ALL SELECT c.src, e.dst, depth + 1 FROM c JOIN edges e ON e.src = c.dst) SELECT src, dst, depth FROM c")
+@query("gr_closure", f"WITH RECURSIVE {_FOLDERS}, {_REACH} SELECT src, dst, depth FROM reach")
 def _closure(t: Tables):
-    return graph.closure(tree(t))
+    return graph.closure(folder_edges(t))
+
 
+@query("gr_dependents", f"WITH RECURSIVE {_FOLDERS}, {_REACH} SELECT dst AS node, src AS dependent FROM reach WHERE src <> dst")
+def _dependents(t: Tables):
+    return graph.dependents(folder_edges(t))
 
-@query("gr_cycles", f"WITH RECURSIVE {_RING}, c AS (SELECT src, dst, 1 AS depth FROM edges UNION ALL SELECT c.src, e.dst, depth + 1 FROM c JOIN edges e ON e.src = c.dst WHERE depth < 25) SELECT src AS node, min(depth) AS length FROM c WHERE src = dst GROUP BY 1")
+
+@query("gr_cycles", f"WITH RECURSIVE {_FOLDERS}, {_REACH} SELECT src AS node, depth AS length FROM reach WHERE src = dst")
 def _cycles(t: Tables):
+    return graph.on_cycles(folder_edges(t))
+
+
+@query("gr_ring_cycles", f"WITH RECURSIVE {_RING}, c AS (SELECT src, dst, 1 AS depth FROM edges UNION ALL SELECT c.src, e.dst, depth + 1 FROM c JOIN edges e ON e.src = c.dst WHERE depth < 25) SELECT src AS node, min(depth) AS length FROM c WHERE src = dst GROUP BY 1")
+def _ring_cycles(t: Tables):
+    """A graph with long cycles, which the imports at hand have not."""
     return graph.on_cycles(ring(t))
 
 
@@ -77,11 +109,23 @@ def _short(t: Tables):
     return graph.short_cycles(ring(t))
 
 
-@query("gr_layers", f"WITH RECURSIVE {_TREE}, heads AS (SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)), d AS (SELECT node, 0 AS layer FROM heads UNION SELECT e.dst, d.layer + 1 FROM d JOIN edges e ON e.src = d.node) SELECT node, max(layer) AS layer FROM d GROUP BY 1")
+_LAYERS = _REACH + """, bad AS (SELECT src AS node FROM reach WHERE src = dst UNION SELECT r.dst FROM reach r JOIN reach o ON o.src = o.dst AND o.src = r.src),
+    d AS (SELECT node, 0 AS layer FROM nodes WHERE node NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, d.layer + 1 FROM d JOIN edges e ON e.src = d.node WHERE e.dst NOT IN (SELECT node FROM bad)),
+    layers AS (SELECT node, max(layer) AS layer FROM d GROUP BY 1 UNION ALL SELECT node, -1 FROM bad)"""
+
+
+@query("gr_layers", f"WITH RECURSIVE {_FOLDERS}, {_LAYERS} SELECT node, layer FROM layers")
 def _layers(t: Tables):
-    return graph.layers(t.part.select(F.col("p_partkey").alias("node")), tree(t))
+    edges = folder_edges(t)
+    return graph.layers(edges.select(F.col("src").alias("node")).union(edges.select("dst")), edges)
 
 
-@query("gr_depth", f"WITH RECURSIVE {_TREE}, heads AS (SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)), d AS (SELECT node, 0 AS layer FROM heads UNION SELECT e.dst, d.layer + 1 FROM d JOIN edges e ON e.src = d.node) SELECT max(layer) AS depth FROM d")
+@query("gr_depth", f"WITH RECURSIVE {_FOLDERS}, {_LAYERS} SELECT greatest(0, max(layer)) AS depth FROM layers")
 def _depth(t: Tables):
-    return _layers(t).agg(F.max("layer").alias("depth"))
+    return _layers(t).agg(F.greatest(F.lit(0), F.max("layer")).alias("depth"))
+
+
+@query("gr_tree_layers", f"WITH RECURSIVE {_TREE}, heads AS (SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT dst FROM edges)), d AS (SELECT node, 0 AS layer FROM heads UNION SELECT e.dst, d.layer + 1 FROM d JOIN edges e ON e.src = d.node) SELECT node, max(layer) AS layer FROM d GROUP BY 1")
+def _tree_layers(t: Tables):
+    """A deeper graph than the imports': every part points to the one with half its number."""
+    return graph.layers(t.part.select(F.col("p_partkey").alias("node")), tree(t))

@@ -32,16 +32,6 @@ def _import(t: Tables):
     return _export(t).select(F.from_json("j", "pr_id string, author string").alias("r")).select("r.*")
 
 
-@query("flt_server_by_name", f"WITH {FILES} SELECT repo, file FROM files WHERE lower(trim(language)) = 'python'")
-def _by_name(t: Tables):
-    return t.files.where(F.lower(F.trim("language")) == "python").select("repo", "file")
-
-
-@query("flt_by_cap", f"WITH {FILES} SELECT repo, file FROM files WHERE list_contains(list_transform(imports, lambda i: i.source), 'asyncio')")
-def _by_cap(t: Tables):
-    return t.files.where(F.array_contains(F.col("imports.source"), "asyncio")).select("repo", "file")
-
-
 @query("flt_alerts", f"WITH {UPDATES} SELECT update_id, agent_id FROM updates WHERE NOT success AND consensus_score < 0.3")
 def _alerts(t: Tables):
     return t.updates.where("NOT success AND consensus_score < 0.3").select("update_id", "agent_id")
@@ -62,45 +52,9 @@ def _instances(t: Tables):
     return t.patches.join(t.pull_request.where("base_branch = 'release'").select("pr_id"), "pr_id", "left_semi").select("pr_file_id", "pr_id")
 
 
-@query("vec_add", "SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT vec_id AS id FROM embeddings UNION ALL SELECT vec_id + 1000000 FROM embeddings WHERE label = 1)")
-def _add(t: Tables):
-    base = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    return store.upsert(base, t.embeddings.where("label = 1").select((F.col("vec_id") + 1000000).alias("id"), "embedding"), "id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
-
-
-@query("vec_remove", "SELECT label, count(*) AS n FROM embeddings WHERE label <> 2 GROUP BY 1")
-def _remove(t: Tables):
-    return store.delete(t.embeddings, t.embeddings.where("label = 2"), "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
 # -- joins, folds --------------------------------------------------------------------------------------
 
 
-@query("join_template_vars", "SELECT m.mix_id, m.source, coalesce(d.n, 0) AS n FROM (SELECT DISTINCT mix_id, lower(trim(source)) AS source FROM mix_target) m LEFT JOIN (SELECT lower(trim(source)) AS source, count(*) AS n FROM documents GROUP BY 1) d USING (source)")
-def _vars(t: Tables):
-    have = t.documents.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    return t.mix_target.select("mix_id", F.lower(F.trim("source")).alias("source")).distinct().join(have, "source", "left").fillna(0, ["n"]).select("mix_id", "source", "n")
-
-
-@query("st_lru")
-def _lru(t: Tables):
-    """What a cache of 50 holds after all accesses, oldest use first."""
-    ops = t.events.select("event_id", F.when(F.col("event_type") == "view", "get").otherwise("set").alias("op"), "user_id")
-    held = folds.lru(ops, "event_id", "op", "user_id", 50)
-    return t.spark.createDataFrame(list(enumerate(held)), "place int, user_id bigint")
-
-
-@query("st_load", f"WITH {MEMORY} SELECT provenance.agent_id AS agent_id, count(*) AS routed, greatest(0, count(*) - count_if(consolidated)) AS load FROM memory GROUP BY 1")
-def _load(t: Tables):
-    return t.memory.groupBy(F.col("provenance.agent_id").alias("agent_id")).agg(F.count(F.lit(1)).alias("routed"), F.greatest(F.lit(0), F.count(F.lit(1)) - F.count_if("consolidated")).alias("load"))
-
-
-@query("st_history", f"WITH {UPDATES} SELECT agent_id, update_id, round(sum(tool_calls) OVER (PARTITION BY agent_id ORDER BY ts, update_id), 3) AS calls FROM updates WHERE success")
-def _history(t: Tables):
-    w = Window.partitionBy("agent_id").orderBy("ts", "update_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.updates.where("success").select("agent_id", "update_id", F.round(F.sum("tool_calls").over(w).cast("double"), 3).alias("calls"))
-
-
 # -- rules on code and text ----------------------------------------------------------------------------
 
 
@@ -114,93 +68,9 @@ def _extract(t: Tables):
     return t.documents.where("text IS NOT NULL").select("doc_id", extract.functions(F.col("text")).alias("f"), extract.classes(F.col("text")).alias("c")).select("doc_id", F.size("f").alias("functions"), F.size("c").alias("classes"))
 
 
-@query("ap_long_parameter_list", f"WITH {FILES} SELECT repo, file, i.source AS source, len(i.specifiers) AS n FROM (SELECT repo, file, unnest(imports) AS i FROM files) WHERE len(i.specifiers) > 2")
-def _long(t: Tables):
-    """Imports that name more than two things (functions are not kept)."""
-    return t.files.select("repo", "file", F.explode("imports").alias("i")).where(F.size("i.specifiers") > 2).select("repo", "file", F.col("i.source").alias("source"), F.size("i.specifiers").alias("n"))
-
-
-@query("ap_data_clump", f"WITH {FILES} SELECT repo, a, b, count(*) AS n FROM (SELECT repo, list_min(s) AS a, list_max(s) AS b FROM (SELECT repo, i.specifiers AS s FROM (SELECT repo, unnest(imports) AS i FROM files)) WHERE len(s) >= 2) GROUP BY ALL HAVING count(*) >= 3")
-def _clump(t: Tables):
-    pairs = t.files.select("repo", F.explode("imports").alias("i")).where(F.size("i.specifiers") >= 2).select("repo", F.array_min("i.specifiers").alias("a"), F.array_max("i.specifiers").alias("b"))
-    return pairs.groupBy("repo", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-
-
-@query("ap_layer_violation", f"WITH {PATCHES} SELECT pr_file_id FROM patches WHERE contains(filename, 'src/') AND regexp_matches(patch, 'logger\\.debug|this\\.[a-zA-Z]+\\.set')")
-def _layer(t: Tables):
-    return t.patches.where(F.contains("filename", F.lit("src/")) & F.col("patch").rlike(r"logger\.debug|this\.[a-zA-Z]+\.set")).select("pr_file_id")
-
-
-@query("ap_switch_statements", "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '(switch|for|if)\\s*\\([^)]+\\)')) > 2")
-def _switch(t: Tables):
-    return t.documents.where(F.regexp_count("text", F.lit(r"(switch|for|if)\s*\([^)]+\)")) > 2).select("doc_id")
-
-
-@query("ap_circular_dependency", f"WITH RECURSIVE {_RING}, c AS (SELECT src, dst, 1 AS d FROM edges UNION ALL SELECT c.src, e.dst, d + 1 FROM c JOIN edges e ON e.src = c.dst WHERE d < 4) SELECT DISTINCT src AS node FROM c WHERE src = dst")
-def _circular(t: Tables):
-    return graph.on_cycles(ring(t)).select("node")
-
-
-@query("ap_duplicate_code", f"WITH {PATCHES}, l AS (SELECT pr_file_id, unnest(string_split(patch, chr(10))) AS s FROM patches WHERE patch IS NOT NULL), k AS (SELECT trim(substr(s, 2)) AS line, count(DISTINCT pr_file_id) AS n FROM l GROUP BY 1) SELECT md5(line) AS h, n FROM k WHERE n > 1 AND length(line) >= 20")
-def _duplicate(t: Tables):
-    """Code lines that several patches carry."""
-    lines = t.patches.where("patch IS NOT NULL").select("pr_file_id", F.explode(F.split("patch", "\n", -1)).alias("s")).select("pr_file_id", F.trim(F.substring("s", 2, 1_000_000)).alias("line"))
-    held = lines.where(F.length("line") >= 20).distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return held.select(F.md5("line").alias("h"), "n")
-
-
-@query("num_risk", f"WITH {PATCHES}, c AS (SELECT pr_id, count(DISTINCT filename) AS n, bool_or(status = 'removed') AS gone FROM patches GROUP BY 1) SELECT pr_id, CASE WHEN n > 10 THEN 'high' WHEN gone THEN 'medium' ELSE 'low' END AS risk FROM c")
-def _risk(t: Tables):
-    c = t.patches.groupBy("pr_id").agg(F.countDistinct("filename").alias("n"), F.bool_or(F.col("status") == "removed").alias("gone"))
-    return c.select("pr_id", F.when(F.col("n") > 10, "high").when(F.col("gone"), "medium").otherwise("low").alias("risk"))
-
-
-@query("txt_adr_title", "SELECT pr_id, left(split_part(head_branch, '/', 1) || ': ' || coalesce(title, 'untitled'), 50) AS title FROM pull_request")
-def _title(t: Tables):
-    return t.pull_request.select("pr_id", F.left(F.concat(F.split_part("head_branch", F.lit("/"), F.lit(1)), F.lit(": "), F.coalesce("title", F.lit("untitled"))), F.lit(50)).alias("title"))
-
-
 # -- cascades and generated rows -----------------------------------------------------------------------
 
 
-@query("num_peft_routing", None)
-def _peft(t: Tables):
-    s = routing.expert_scores(F.col("description"), F.lit("critical"))
-    return t.pull_request.select("pr_id", routing.best_expert(s).alias("b")).select("pr_id", "b.expert", r6("b.confidence").alias("confidence"))
-
-
-@query("wf_route_tool", f"""WITH {MEMORY}, best AS (SELECT metadata.domain AS domain, max(reward) AS r FROM memory WHERE reward > 0.85 GROUP BY 1)
-    SELECT id, CASE WHEN regexp_matches(content, '\\bvar\\s+\\w+\\s*=') THEN 1 WHEN r IS NOT NULL THEN 2 ELSE 3 END AS tier FROM memory LEFT JOIN best ON domain = metadata.domain""")
-def _route(t: Tables):
-    """A rewrite where the code calls for one, else a pattern of the domain that did well, else the best tool."""
-    best = t.memory.where("reward > 0.85").groupBy(F.col("metadata.domain").alias("domain")).agg(F.max("reward").alias("r"))
-    rows = t.memory.select("id", "content", F.col("metadata.domain").alias("domain")).join(best, "domain", "left")
-    return rows.select("id", F.when(F.col("content").rlike(r"\bvar\s+\w+\s*="), 1).when(F.col("r").isNotNull(), 2).otherwise(3).alias("tier"))
-
-
-@query("wf_queue", f"WITH {MEMORY} SELECT id, row_number() OVER (ORDER BY CASE type WHEN 'working' THEN 0 WHEN 'episodic' THEN 1 ELSE 2 END, created_at, id) AS place FROM memory ORDER BY 2 LIMIT 200")
-def _queue(t: Tables):
-    order = [F.when(F.col("type") == "working", 0).when(F.col("type") == "episodic", 1).otherwise(2), F.col("created_at"), F.col("id")]
-    return t.memory.orderBy(*order).limit(200).select("id", F.row_number().over(Window.orderBy(*order)).alias("place"))
-
-
-@query("wf_pr_gate", f"WITH {PATCHES}, big AS (SELECT pr_id, list(filename ORDER BY filename) AS files FROM (SELECT DISTINCT pr_id, filename FROM patches WHERE additions > 20) GROUP BY 1) SELECT pr_id, len(files) = 0 AS passed, files FROM big")
-def _gate(t: Tables):
-    big = t.patches.where("additions > 20").groupBy("pr_id").agg(F.array_sort(F.collect_set("filename")).alias("files"))
-    return big.select("pr_id", (F.size("files") == 0).alias("passed"), "files")
-
-
-@query("wf_bank", f"WITH {MEMORY} SELECT metadata.domain AS domain, count(*) AS n, count_if(coalesce(reward, 0) >= 0.7) AS good, round(max(reward), 6) AS best FROM memory WHERE verdict IS NOT NULL GROUP BY 1")
-def _bank(t: Tables):
-    return t.memory.where("verdict IS NOT NULL").groupBy(F.col("metadata.domain").alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("reward", F.lit(0.0)) >= 0.7).alias("good"), r6(F.max("reward")).alias("best"))
-
-
-@query("misc_expert_weights")
-def _weights(t: Tables):
-    e = routing.experts(t.spark)
-    return e.select("expert_id", F.posexplode(learning.weights(F.col("domain"), 64)).alias("pos", "v")).select("expert_id", "pos", r6("v").alias("v"))
-
-
 @query("misc_fisher_lookup", f"WITH {MEMORY} SELECT id, len(embedding) AS n FROM memory WHERE id = 'mem-00000000007'")
 def _lookup(t: Tables):
     return store.by_id(t.memory, "id", "mem-00000000007").select("id", F.size("embedding").alias("n"))
@@ -217,20 +87,6 @@ def _status(t: Tables):
     return t.agent_pheromone.agg(F.when(F.count(F.lit(1)) > 0, "active").otherwise("idle").alias("status"), F.countDistinct("role").alias("roles"))
 
 
-@query("misc_bench_entries", "SELECT count(*) AS n, min(len(text)) > 0 AS filled FROM (SELECT 'entry-' || i AS id, 'x' AS text FROM range(1000) r(i))")
-def _entries(t: Tables):
-    """Generated entries: hash-seeded columns over a range."""
-    made = t.spark.range(1000).select(F.concat(F.lit("entry-"), F.col("id").cast("string")).alias("id"), F.concat_ws(" ", F.lit("business order"), F.hex(F.xxhash64("id"))).alias("text"))
-    return made.agg(F.count(F.lit(1)).alias("n"), (F.min(F.length("text")) > 0).alias("filled"))
-
-
-@query("misc_packages_used", f"WITH {_PACKAGES} SELECT repo, count(DISTINCT dst) AS n FROM pairs GROUP BY 1")
-def _used(t: Tables):
-    path = F.translate("file", "\\", "/")
-    each = t.files.select("repo", path.alias("p"), F.explode("imports").alias("i")).where(F.col("i.source").startswith("../") & ~F.col("i.source").startswith("../../") & F.contains("p", F.lit("/")))
-    return each.groupBy("repo").agg(F.countDistinct(F.split_part("i.source", F.lit("/"), F.lit(2))).alias("n"))
-
-
 @query("agg_size_by_lane", f"SELECT lane, sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\x0b\\f\\r]+')))::BIGINT AS tokens, sum(len(string_split_regex(coalesce(text, ''), '{SPACE}')))::BIGINT AS words FROM documents GROUP BY 1")
 def _by_lane(t: Tables):
     return t.documents.groupBy("lane").agg(F.sum(token_size(F.col("text"))).alias("tokens"), F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+", -1))).alias("words"))

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import extension
-from lodestone.operators.ranking import index_within
+from lodestone.functions.vectors import quantise_uniform
+from lodestone.operators.ranking import in_order, index_within
 from lodestone.plans.shared import shared_dir
 from lodestone.queries.base import FILES, MEMORY, PATCHES, UPDATES, Tables, query, r6
 from lodestone.sources import store
@@ -15,12 +16,30 @@ from lodestone.sources import store
 # -- sources and sinks -----------------------------------------------------------------------------
 
 
-@query("src_insert", f"WITH {MEMORY} SELECT id, type, tier, reward, access_count, updated_at FROM memory")
 @query("set_latest", f"WITH {MEMORY} SELECT id, type, tier, reward, access_count, updated_at FROM memory")
 def _latest(t: Tables):
     return t.memory.select("id", "type", "tier", "reward", "access_count", "updated_at")
 
 
+_INSERTED = MEMORY.replace("memory_entry", "(SELECT id, type, tier, reward, access_count, updated_at, embedding FROM memory_entry UNION ALL SELECT id, type, 9, reward, access_count + 1, updated_at + INTERVAL 1 DAY, embedding FROM memory_entry WHERE verdict = 'failure' UNION ALL SELECT 'new-' || id, type, tier, reward, 0, updated_at, embedding FROM memory_entry WHERE type = 'working')")
+
+
+@query("src_insert", f"WITH {_INSERTED} SELECT id, type, tier, access_count, list_transform(embedding, lambda x: greatest(0, least(255, floor((x::DOUBLE + 1) / 2 * 255 + 0.5)))::INT) AS code FROM memory WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0")
+def _insert(t: Tables):
+    """A batch of changed and new entries appended to the stored table; the latest version of an id counts, and finite vectors are quantised for the index."""
+    cols = ["id", "type", "tier", "reward", "access_count", "updated_at", "embedding"]
+    base = t.memory_entry.select(*cols)
+    later = {"tier": F.lit(9), "access_count": F.col("access_count") + 1, "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 DAY")}
+    batch = t.memory_entry.where("verdict = 'failure'").select(*cols).withColumns(later)
+    batch = batch.unionByName(t.memory_entry.where("type = 'working'").select(*cols).withColumns({"id": F.concat(F.lit("new-"), "id"), "access_count": F.lit(0).cast("bigint")}))
+    path = f"{shared_dir(t.spark)}/lodestone/entries-{uuid.uuid4().hex}"
+    store.append(base, path)
+    store.append(batch, path)
+    rows = store.latest(t.spark.read.parquet(path), ["id"], ["updated_at", "access_count", "reward"])
+    finite = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(finite).select("id", "type", "tier", "access_count", quantise_uniform(F.col("embedding"), 8).alias("code"))
+
+
 @query("src_load_all", "SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(embedding) AS n_vectors FROM memory_entry")
 def _load(t: Tables):
     return t.memory_entry.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.count("embedding").alias("n_vectors"))
@@ -78,12 +97,12 @@ def _export(t: Tables):
     return out.select("doc_id", F.from_json("j", "source string, text string").alias("d")).select("doc_id", F.coalesce("d.source", F.lit("")).alias("source"), F.length("d.text").cast("bigint").alias("n"))
 
 
-@query("src_index_io", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+@query("src_index_io", "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings")
 def _io(t: Tables):
-    """Vectors written by label and read back with partition pruning at hand."""
+    """An index saved (vectors and ids, by label) and loaded again, whole."""
     path = f"{shared_dir(t.spark)}/lodestone/vectors-{uuid.uuid4().hex}"
     store.write_partitioned(t.embeddings, path, "label")
-    return t.spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.read.parquet(path).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
 # -- filters ---------------------------------------------------------------------------------------
@@ -100,12 +119,19 @@ def _by_tag(t: Tables):
     return t.memory.where(F.array_contains("metadata.tags", "layer")).select("id")
 
 
-@query("flt_by_tier", f"WITH {MEMORY} SELECT id, tier FROM memory WHERE tier <= 1")
-def _tier(t: Tables):
-    return t.memory.where("tier <= 1").select("id", "tier")
+@query("txt_lang", f"WITH {FILES} SELECT repo, file, coalesce(l.language, 'unknown') AS language FROM files LEFT JOIN lang_ext l ON l.ext = lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1))")
+def _file_lang(t: Tables):
+    """The language of every file by its extension."""
+    exts = t.lang_ext.select("ext", F.col("language").alias("known"))
+    return t.files.join(F.broadcast(exts), extension(F.col("file")) == F.col("ext"), "left").select("repo", "file", F.coalesce("known", F.lit("unknown")).alias("language"))
+
+
+@query("set_sort_recent", "SELECT pr_id, created_at, row_number() OVER (ORDER BY created_at DESC, pr_id) AS place FROM pull_request")
+def _recent(t: Tables):
+    """All pull requests from the newest on, with their places."""
+    return in_order(t.pull_request.select("pr_id", "created_at"), [F.desc("created_at"), F.col("pr_id")], "n").select("pr_id", "created_at", (F.col("n") + 1).alias("place"))
 
 
-@query("flt_search_text", "SELECT pr_id, title FROM pull_request WHERE contains(lower(title), 'stock') OR contains(lower(description), 'stock') OR contains(lower(head_branch), 'stock')")
 @query("flt_tpl_search", "SELECT pr_id, title FROM pull_request WHERE contains(lower(title), 'stock') OR contains(lower(description), 'stock') OR contains(lower(head_branch), 'stock')")
 def _search(t: Tables):
     has = lambda c: F.coalesce(F.contains(F.lower(c), F.lit("stock")), F.lit(False))
@@ -113,7 +139,6 @@ def _search(t: Tables):
 
 
 @query("flt_adr_list", "SELECT pr_id, author, created_at FROM pull_request WHERE author = 'dev-0001' AND base_branch = 'main'")
-@query("set_sort_recent", "SELECT pr_id, author, created_at FROM pull_request WHERE author = 'dev-0001' AND base_branch = 'main'")
 def _list(t: Tables):
     return t.pull_request.where("author = 'dev-0001' AND base_branch = 'main'").orderBy(F.desc("created_at"), "pr_id").select("pr_id", "author", "created_at")
 
@@ -235,7 +260,6 @@ def _component(t: Tables):
 
 
 @query("join_lang_ext", f"WITH {FILES} SELECT coalesce(l.language, 'unknown') AS language, count(*) AS n FROM files LEFT JOIN lang_ext l ON l.ext = lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) GROUP BY 1")
-@query("txt_lang", f"WITH {FILES} SELECT coalesce(l.language, 'unknown') AS language, count(*) AS n FROM files LEFT JOIN lang_ext l ON l.ext = lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) GROUP BY 1")
 def _lang(t: Tables):
     exts = t.lang_ext.select("ext", F.col("language").alias("known"))
     return t.files.join(F.broadcast(exts), extension(F.col("file")) == F.col("ext"), "left").groupBy(F.coalesce("known", F.lit("unknown")).alias("language")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from lodestone.functions import text as x
 from lodestone.functions.measures import token_size
 from lodestone.functions.numbers import hash32
 from lodestone.operators.learning import scales, weights
+from lodestone.operators.ranking import in_order
 from lodestone.queries.base import FILES, MEMORY, PATCHES, Tables, query, r6
 from lodestone.queries.vectors import _WRAP
 
@@ -86,10 +87,9 @@ def _match(t: Tables):
     return t.patches.select("pr_file_id", x.match_codemod(F.col("patch")).alias("codemod"))
 
 
-@query("txt_cm_const", f"WITH {MEMORY} SELECT id, md5(regexp_replace(content, '\\blet\\s+(\\w+)\\s*=', 'const \\1 =', 'g')) AS h FROM memory WHERE content IS NOT NULL")
+@query("txt_cm_const", f"WITH {PATCHES} SELECT pr_file_id, md5(regexp_replace(patch, '\\bvar\\s+(\\w+)\\s*=', 'const \\1 =', 'g')) AS h FROM patches WHERE patch IS NOT NULL")
 def _const(t: Tables):
-    code = F.regexp_replace("content", r"\blet\s+(\w+)\s*=", r"var $1 =")
-    return t.memory.where("content IS NOT NULL").select("id", F.md5(x.var_to_const(code)).alias("h"))
+    return t.patches.where("patch IS NOT NULL").select("pr_file_id", F.md5(x.var_to_const(F.col("patch"))).alias("h"))
 
 
 @query("txt_cm_console", "SELECT doc_id, md5(regexp_replace(text, 'console\\.(log|warn|error|info|debug)\\([^)]*\\);?\\n?', '', 'g')) AS h FROM documents WHERE text IS NOT NULL")
@@ -108,9 +108,13 @@ def _todo(t: Tables):
     return t.documents.where("text IS NOT NULL").select("doc_id", F.md5(x.ticket_todos(F.col("text"))).alias("h"))
 
 
-@query("txt_line_diff")
+@query("txt_line_diff", """WITH t AS (SELECT a.doc_id, string_split(coalesce(a.text, ''), chr(10)) AS a, string_split(coalesce(b.text, ''), chr(10)) AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+    h AS (SELECT *, least(len(a), len(b)) AS m, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i]), true) - 1, least(len(a), len(b)))::INT AS first,
+        coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[-i] <> b[-i]), true) - 1, least(len(a), len(b))) AS tail FROM t),
+    e AS (SELECT doc_id, first, (len(a) - least(tail, m - first) - 1)::INT AS old_last, (len(b) - least(tail, m - first) - 1)::INT AS new_last FROM h)
+    SELECT doc_id, CASE WHEN old_last < first AND new_last < first THEN 'none' WHEN old_last < first THEN 'added' WHEN new_last < first THEN 'deleted' ELSE 'modified' END AS kind, first, old_last, new_last FROM e""")
 def _diff(t: Tables):
-    """Lines that differ between a document and the next one; checked against brute force on a fixture."""
+    """Lines that differ between a document and the next one."""
     nxt = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("newer"))
     return t.documents.join(nxt, "doc_id").select("doc_id", x.diff_range(F.col("text"), F.col("newer")).alias("d")).select("doc_id", "d.*")
 
@@ -127,10 +131,17 @@ def _flags(t: Tables):
     return t.documents.agg(F.count_if(c.contains("cache")).alias("cache"), F.count_if(c.contains("validate")).alias("validate"), F.count_if(c.rlike("crypto|encrypt|hash")).alias("crypto"), F.count_if(c.contains("WeakMap")).alias("weak"))
 
 
-@query("txt_secrets", f"""WITH {PATCHES} SELECT pr_file_id, (CASE WHEN regexp_matches(patch, '(?i)(api[_-]?key|password|secret|token)\\s*[:=]\\s*[''"][^''"]{{8,}}[''"]') THEN 30 ELSE 0 END)
-    + (CASE WHEN regexp_matches(patch, '(?i)(query|execute)\\s*\\([^)]*(\\+|\\$\\{{)') THEN 20 ELSE 0 END) + (CASE WHEN regexp_matches(patch, '(innerHTML\\s*=|dangerouslySetInnerHTML|document\\.write\\()') THEN 15 ELSE 0 END) AS lost FROM patches WHERE patch IS NOT NULL""")
+#: The eight patterns, as SQL.
+_UNSAFE = [(n, p.replace("'", "''")) for n, p in x.UNSAFE]
+_LOST = " + ".join(f"(CASE WHEN regexp_matches(patch, '{p}') THEN {n} ELSE 0 END)" for n, p in _UNSAFE)
+_ISSUES = " + ".join(f"coalesce(regexp_matches(patch, '{p}'), false)::INT" for _, p in _UNSAFE)
+
+
+@query("txt_secrets", f"WITH {PATCHES} SELECT pr_file_id, {_LOST} AS lost, greatest(0, 100 - ({_LOST})) AS score FROM patches WHERE patch IS NOT NULL")
 def _secrets(t: Tables):
-    return t.patches.where("patch IS NOT NULL").select("pr_file_id", x.code_findings(F.col("patch")).alias("lost"))
+    """Points that a patch loses, and the security score left."""
+    lost = x.code_findings(F.col("patch"))
+    return t.patches.where("patch IS NOT NULL").select("pr_file_id", lost.alias("lost"), F.greatest(F.lit(0), 100 - lost).alias("score"))
 
 
 @query("txt_switches", "SELECT doc_id, len(regexp_extract_all(text, 'switch\\s*\\([^)]+\\)')) AS n FROM documents WHERE text IS NOT NULL")
@@ -148,13 +159,9 @@ def _modules(t: Tables):
     return t.files.groupBy("repo").agg(F.countDistinct(x.module_of(F.col("file"))).alias("n"))
 
 
-@query("txt_adr_id", "SELECT pr_id, 'ADR-' || lpad((row_number() OVER (ORDER BY created_at, pr_id))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY created_at, pr_id))::VARCHAR))::INT, '0') AS adr FROM pull_request WHERE base_branch = 'main'")
+@query("txt_adr_id", "SELECT pr_id, 'ADR-' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS adr FROM (SELECT pr_id, row_number() OVER (ORDER BY created_at, pr_id) AS n FROM pull_request)")
 def _adr(t: Tables):
-    from pyspark.sql import Window
-
-    some = t.pull_request.where("base_branch = 'main'")
-    n = F.row_number().over(Window.orderBy("created_at", "pr_id"))
-    return some.select("pr_id", F.format_string("ADR-%03d", n).alias("adr"))
+    return in_order(t.pull_request.select("pr_id", "created_at"), ["created_at", "pr_id"], "n").select("pr_id", F.format_string("ADR-%03d", F.col("n") + 1).alias("adr"))
 
 
 @query("txt_effort", "SELECT pr_id, CASE WHEN h < 8 THEN ceil(h)::INT || ' hours' WHEN h < 40 THEN ceil(h / 8)::INT || ' days' ELSE ceil(h / 40)::INT || ' weeks' END AS effort FROM (SELECT pr_id, count(DISTINCT filename) * 2.0 * 3 AS h FROM pr_file GROUP BY 1)")
@@ -180,11 +187,6 @@ def _template(t: Tables):
     return t.pull_request.select("pr_id", x.render(F.lit("{{who}}: {{what}} {{rest}}"), values, F.create_map(F.lit("what"), F.coalesce("title", F.lit("untitled")))).alias("line"))
 
 
-@query("txt_tpl_validate", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\\{\\{([A-Za-z0-9_]+)\\}\\}', 1))) AS n FROM documents WHERE text LIKE '%{{%'")
-def _validate(t: Tables):
-    return t.documents.where(F.col("text").contains("{{")).select("doc_id", F.size(x.template_names(F.col("text"))).alias("n"))
-
-
 @query("txt_sha256", "SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL")
 def _sha(t: Tables):
     return t.documents.where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("h"))

@@ -9,9 +9,10 @@ from lodestone.functions import vectors as v
 from lodestone.functions.numbers import js_round
 from lodestone.functions.text import bm25, overlap, tokens
 from lodestone.operators import search
+from lodestone.operators.ranking import in_order
 from lodestone.queries.base import MEMORY, Tables, query, r6
 
-DIM, SMALL = 128, 64
+DIM, SMALL, EMBEDDED = 128, 64, 384
 #: Usable vectors of the memory table in SQL: right length, finite, not all zero.
 GOOD = "embedding IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 QGOOD = GOOD.replace("embedding", "vector")
@@ -114,12 +115,12 @@ def _hash(t: Tables):
 @query("vec_embed")
 def _embed(t: Tables):
     """Texts to unit vectors; the sine of large numbers differs between libraries, so there is no SQL."""
-    return t.pull_request.select("pr_id", v.embed(F.col("title"), 16).alias("vector")).select("pr_id", "vector", r6(v.norm(F.col("vector"))).alias("norm"))
+    return t.pull_request.select("pr_id", v.embed(F.col("title"), EMBEDDED).alias("vector")).select("pr_id", "vector", r6(v.norm(F.col("vector"))).alias("norm"))
 
 
 @query("vec_anchor_relevance")
 def _relevance(t: Tables):
-    both = t.pull_request.select("pr_id", v.embed(F.col("title"), 16).alias("a"), v.embed(F.col("description"), 16).alias("b"))
+    both = t.pull_request.select("pr_id", v.embed(F.col("title"), EMBEDDED).alias("a"), v.embed(F.col("description"), EMBEDDED).alias("b"))
     return both.select("pr_id", r6(v.cosine(F.col("a"), F.col("b"))).alias("relevance"))
 
 
@@ -134,10 +135,12 @@ def _maxsim(t: Tables):
     return both.select("vec_id", r6(v.max_similarity(F.col("embedding"), F.col("chosen"))).alias("sim"))
 
 
-@query("vec_centroids", "SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS x0, round(avg(embedding[64]::DOUBLE), 6) AS x63 FROM embeddings GROUP BY 1")
+@query("vec_centroids", "SELECT label, any_value(n) AS n, list(m ORDER BY i) AS mean FROM (SELECT label, i, count(*) AS n, round(avg(x), 6) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1")
 def _centroids(t: Tables):
-    means = t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("embedding")[0].cast("double"))).alias("x0"), r6(F.avg(F.col("embedding")[63].cast("double"))).alias("x63"))
-    return means
+    """The mean vector of every label, component by component."""
+    each = t.embeddings.select("label", F.posexplode(v.doubles(F.col("embedding"))).alias("i", "x"))
+    means = each.groupBy("label", "i").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("x")).alias("m"))
+    return means.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("mean"))
 
 
 # -- search and ranking ------------------------------------------------------------------------------
@@ -164,7 +167,6 @@ def _hits(t: Tables):
     return search.hybrid_search(searches(t), entries(t), DIM).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), r6(F.max("score")).alias("best"))
 
 
-@query("rnk_mmr")
 @query("rnk_search")
 def _search(t: Tables):
     """The flagship: nearest entries, hybrid scores, diversity re-ranking."""
@@ -173,10 +175,18 @@ def _search(t: Tables):
     return got.select("qid", "id", r6("score").alias("score"), "rank", "mmr_rank")
 
 
+@query("rnk_mmr")
+def _mmr(t: Tables):
+    """Re-ranking by diversity alone, of each label's vectors nearest to its first one: cosine as the score; checked against brute force on a fixture."""
+    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.col("label").alias("id"), "vector")
+    hits = search.knn(first, small(t), SMALL, 50).select("qid", "id", (1 - F.col("distance")).alias("score"), "rank")
+    return search.mmr(hits, small(t)).select(F.col("qid").alias("label"), "id", r6("score").alias("score"), "rank", "mmr_rank")
+
+
 @query(
     "rnk_pattern_similar",
-    """WITH t AS (SELECT pr_id, title, base_branch, string_split_regex(lower(title), '[ \\t\\n\\x0b\\f\\r]+')[1] AS w1, list_distinct(string_split_regex(lower(title), '[ \\t\\n\\x0b\\f\\r]+')) AS w FROM pull_request),
-    p AS (SELECT a.pr_id, b.pr_id AS other, round(len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)), 6) AS overlap FROM t a JOIN t b ON a.base_branch = b.base_branch AND a.w1 = b.w1 AND a.pr_id <> b.pr_id)
+    """WITH t AS (SELECT pr_id, list_distinct(string_split_regex(lower(title), '[ \\t\\n\\x0b\\f\\r]+')) AS w FROM pull_request WHERE title IS NOT NULL),
+    p AS (SELECT a.pr_id, b.pr_id AS other, round(len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)), 6) AS overlap FROM t a JOIN t b ON a.pr_id <> b.pr_id)
     SELECT pr_id, other, overlap FROM p WHERE overlap > 0.5 QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY overlap DESC, other) <= 5""",
 )
 def _similar(t: Tables):
@@ -210,10 +220,10 @@ def _agents(t: Tables):
     return t.agent_pheromone.where("eligible").select("agent_id", "role", "ema_score", F.rank().over(Window.partitionBy("role").orderBy(F.desc("ema_score"))).alias("place"))
 
 
-@query("rnk_priority_queue", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS place FROM orders ORDER BY 2 LIMIT 100")
+@query("rnk_priority_queue", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS place FROM orders")
 def _queue(t: Tables):
-    first = t.orders.orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(100)
-    return first.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderpriority", "o_orderdate", "o_orderkey")).alias("place"))
+    order = ["o_orderpriority", "o_orderdate", "o_orderkey"]
+    return in_order(t.orders.select(*order), order, "n").select("o_orderkey", (F.col("n") + 1).alias("place"))
 
 
 @query("rnk_history_cap", "SELECT update_id FROM (SELECT DISTINCT update_id, ts FROM pheromone_update) ORDER BY ts DESC, update_id DESC LIMIT 5000")

@@ -50,6 +50,11 @@ def from_records(records: DataFrame, prefix: str, schema) -> DataFrame:
     return records.where(F.col("id").startswith(prefix)).select(F.from_json("content", schema).alias("r")).select("r.*")
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Rows added to a stored table as new files; what is there stays, and :func:`latest` tells versions apart."""
+    df.write.mode("append").parquet(path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
 
@@ -57,3 +62,12 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of the text files under a folder, one row a file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def generated_entries(spark: SparkSession, n: int, dim: int) -> DataFrame:
+    """(id, tag, reward, verdict, vector): ``n`` made-up entries; numbers come from hashes of their place, so every run gives the same."""
+    i = F.col("id")
+    number = lambda j: F.pmod(F.xxhash64(i, j), F.lit(2_000_001)) / 1_000_000.0 - 1  # noqa: E731  from -1 to 1
+    reward = F.pmod(i * 37, F.lit(100)) / 100.0
+    tag = F.element_at(F.array(*map(F.lit, ("order", "inventory", "payment"))), (F.pmod(i, F.lit(3)) + 1).cast("int"))
+    return spark.range(n).select(F.concat(F.lit("entry-"), i.cast("string")).alias("id"), tag.alias("tag"), reward.alias("reward"), F.when(reward >= 0.5, "success").otherwise("failure").alias("verdict"), F.transform(F.sequence(F.lit(1), F.lit(dim)), number).cast("array<float>").alias("vector"))
