@@ -128,9 +128,9 @@ def in_flight(t: Tables, most: int):
     return folds.in_flight(spans, "a", "b", most)
 
 
-@query("st_semaphore", f"WITH {_SPANS} SELECT x AS "at", running, running > 3 AS waits FROM running")
+@query("st_semaphore", f"WITH {_SPANS} SELECT x AS moment, running, running > 3 AS waits FROM running")
 def _semaphore(t: Tables):
-    return in_flight(t, 3)
+    return in_flight(t, 3).withColumnRenamed("at", "moment")
 
 
 @query("st_max_concurrent", f"WITH {_SPANS} SELECT x // 86400000000 AS day, max(running) AS most, max(running) > 10 AS exceeded FROM running GROUP BY 1")
