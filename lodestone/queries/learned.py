@@ -103,7 +103,7 @@ def _remove(t: Tables):
 def _ann(t: Tables):
     """Every vector whose id is divisible by 20 against the cells nearest to it; recall is tested against brute force."""
     centroids = ann.fit(small(t), SMALL, 32)
-    return ann.search(small(t).where("id % 20 = 0"), ann.index(small(t), SMALL, centroids), SMALL, 10, centroids, 12).withColumn("distance", r6("distance"))
+    return ann.search(small(t).where("id % 20 = 0"), ann.index(small(t), SMALL, centroids), SMALL, 10, centroids, 22).withColumn("distance", r6("distance"))
 
 
 @query("txt_tpl_validate", """WITH n AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\\{\\{([A-Za-z0-9_]+)\\}\\}', 1))) AS names FROM documents WHERE text LIKE '%{{%'),
