@@ -5,22 +5,28 @@ from __future__ import annotations
 import atexit
 import pathlib
 import tempfile
+import threading
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_lock = threading.Lock()  # queries may be built from several threads
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only in local mode is a temporary folder set where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="lodestone-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    with _lock:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if found:
+            return found.rstrip("/")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", made)
+        return made
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -56,13 +62,14 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the session's Python workers, wherever they run."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = pathlib.Path(__file__).resolve().parent.parent
-    to = pathlib.Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(to))  # the driver serves it to every executor
-    _shipped.add(app)
+    with _lock:
+        app = spark.sparkContext.applicationId
+        if app in _shipped:
+            return
+        package = pathlib.Path(__file__).resolve().parent.parent
+        to = pathlib.Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(to))  # the driver serves it to every executor
+        _shipped.add(app)
