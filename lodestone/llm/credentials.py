@@ -113,11 +113,18 @@ JOINT = re.compile(r"([\"'`])\s*[+.]\s*\1|([\"'`])\s+\2(?=[A-Za-z0-9])")
 # What every finding needs in its line, pattern by pattern; a line with none of it is passed over unread.
 #: All that SECRET_NAME, SECRET_WORDS, NETRC_LOGIN and PEM can match holds one of these once the line is flattened as names are.
 STEMS = re.compile(r"pass|pwd|secret|token|credential|auth|key")
-#: A literal that is taken without a telling name, one put together from parts, and what the patterns that need no name begin with.
-CUES = (re.compile(r"[A-Za-z0-9+/=_\-.~]{24,}"), JOINT, KNOWN, URL_PARAM, re.compile(r"://|\s-u|--user"))
+#: A literal put together from parts, and what the patterns that need no name begin with.
+CUES = (JOINT, KNOWN, URL_PARAM, re.compile(r"://|\s-u|--user"))
+#: A literal that is taken without a telling name is such a run, with letters of both cases and digits.
+LONG = re.compile(r"[A-Za-z0-9+/=_\-.~]{24,}")
+_DIGIT = re.compile(r"[0-9]")
 _FLAT = re.compile(r"[^a-z0-9\n]+")
 
 
+def _mixed(text: str) -> bool:
+    return any(_DIGIT.search(run) and not run.islower() and not run.isupper() for run in LONG.findall(text))
+
+
 def _body(line: str) -> str:
     """Without the mark of an added, removed or context line."""
     return line[1:] if line[:1] in ("+", "-", " ") else line
@@ -205,7 +212,7 @@ class Finder:
         for text in lines[:-1]:
             starts.append(starts[-1] + len(text) + 1)
         flat = _FLAT.sub("", patch.lower()).split("\n")  # line by line what a name is flattened to
-        hot = (n for n, text in enumerate(lines, 1) if not self.skip or STEMS.search(flat[n - 1]) or any(c.search(_body(text)) for c in CUES))
+        hot = (n for n, text in enumerate(lines, 1) if not self.skip or STEMS.search(flat[n - 1]) or _mixed(text) or any(c.search(_body(text)) for c in CUES))
         ends = [*(s - 1 for s in starts[1:]), len(patch)]
         out: list[tuple[int, str, int, int]] = []
         in_pem = 0
