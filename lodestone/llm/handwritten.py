@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.shared import stage
+
 # fixed values: folder names under which third-party code or tool output is kept
 VENDOR_DIRS = (
     "node_modules", "bower_components", "jspm_packages", "vendor", "vendored", "vendors", "third_party", "third-party", "thirdparty", "3rdparty",
@@ -71,6 +73,7 @@ def with_layout(files: DataFrame) -> DataFrame:
     stats = {"volume": F.log(F.greatest(m("halstead_volume"), F.lit(1.0)) / code), "blank": m("blank_lines") / lines, "comments": m("lines_of_comments") / lines, "functions": F.coalesce("n_functions", F.lit(0)) / code}
     known = F.col("metrics").isNotNull()
     files = files.withColumns({**{f"__{k}": F.when(known, v) for k, v in stats.items()}, "__lines": lines, "__code": code}).drop("metrics")
+    files = stage(files, "layout")  # read by the statistics and by what they are compared with
 
     quarters = lambda prefix: [F.percentile_approx(f"__{k}", [0.25, 0.5, 0.75], 10000).alias(f"{prefix}{k}") for k in STATS]  # noqa: E731  mergeable summaries
     per_lang = files.groupBy(F.col("lang").alias("__l")).agg(F.count("__volume").alias("__n"), *quarters("__l_")).where(F.col("__n") >= LEAST_FILES)
