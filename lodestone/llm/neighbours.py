@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import in_order
 from lodestone.plans.shared import stage
 
 #: Places a side that a tree may search, hash bits, and rows of a block of the sorted arrays.
@@ -136,24 +137,11 @@ def _hash(dim: int, trees: int):
     return run
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds each row's place in its partition."""
-    n = 0
-    for batch in batches:
-        yield batch.append_column("at", pa.array(np.arange(n, n + batch.num_rows, dtype=np.int64)))
-        n += batch.num_rows
-
-
 def _arrays(coded: DataFrame) -> DataFrame:
     """(tree, hi, lo, num, g): the sorted arrays of all trees one after another, with the place ``g`` of each row in them."""
     each = coded.select("num", F.posexplode(F.arrays_zip("hi", "lo")).alias("tree", "key")).select("tree", "key.hi", "key.lo", "num")
-    order = ["tree", "hi", "lo", F.xxhash64("tree", "num"), "num"]  # equal keys stand in another order in every tree
-    ranged = each.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    placed = stage(ranged.mapInArrow(_number, "tree int, hi bigint, lo bigint, num bigint, part int, at bigint"), "arrays")
-    # one row a partition
-    before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return placed.join(F.broadcast(starts), "part").select("tree", "hi", "lo", "num", (F.col("at") + F.col("start")).alias("g"))
+    # equal keys stand in another order in every tree
+    return in_order(each, ["tree", "hi", "lo", F.xxhash64("tree", "num"), "num"], "g")
 
 
 def _blocks(rows: DataFrame, width: int, size: int) -> DataFrame:

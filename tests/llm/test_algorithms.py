@@ -207,6 +207,32 @@ def test_neighbours_over_many_batches(spark):
     assert few == {(r.id, r.neighbour) for r in p3.neighbours(frame(spark, rows), frame(spark, []), 16, 3, trees=2, width=5).collect()}
 
 
+def test_forest_does_not_depend_on_partitions(spark):
+    """Far more vectors than a window holds: the forest's own pairs, without the exact pass, are the same for 3 partitions and 40."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((500, 16))
+    x = (base[rng.integers(0, 500, 3000)] + 0.15 * rng.standard_normal((3000, 16))).astype(np.float32)
+    entries = frame(spark, [(f"e{i:04}", [float(v) for v in r]) for i, r in enumerate(x)])
+    classes, _ = p3._classes(entries, frame(spark, []), 16)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    got = []
+    try:
+        for n in ("3", "40"):
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            pairs, state = p3._forest(classes, 16, 5, 0.9, 4, 64, 0.9)
+            got.append(({(r.a, r.b, r.similarity) for r in pairs.collect()}, {(r.a, r.sure, r.full) for r in state.collect()}))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[0] == got[1] and len(got[0][0]) > 5000 and 0 < sum(s for _, s, _ in got[0][1])
+
+
+def test_trees_follow_the_size():
+    assert p3.trees_for(1000, 0.9, 0.9, 2048) == 1 and p3.trees_for(60_000, 0.9, 0.9, 2048) < p3.trees_for(60_000_000, 0.9, 0.9, 2048) < 40
+    assert p3._leading(np.array([1, 2**31, 2**32, 2**53 - 1, 2**63, 2**64 - 1, 3], dtype=np.uint64)).tolist() == [63, 32, 31, 11, 0, 0, 62]
+
+
 def test_nearest_lists_every_vector(spark):
     """Far neighbours, scaled copies and near copies alike: what brute force finds, in its order."""
     rng = np.random.default_rng(5)
