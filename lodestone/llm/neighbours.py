@@ -14,8 +14,8 @@ blocks by place, each with ``width`` places of its neighbours, so a result depen
 
 What was searched is known: a tree scanned down to prefixes of length d holds a vector of similarity s with
 probability (1 - acos(s) / pi)^d. The number of trees follows from it for the number of vectors at hand, and a vector
-whose trees together reach less than ``recall`` (a prefix group wider than the window, more near copies than a list
-may carry, or neighbours too far to share prefixes) is compared with every entry, in blocks of exact products.
+whose trees together reach less than ``recall`` (a prefix group wider than the window, a crowd of near copies, or
+neighbours too far to share prefixes) is compared with every entry, in blocks of exact products.
 
 Vectors of one direction (equal up to a power of two, in single precision) form a class and stand in the trees once.
 """
@@ -40,7 +40,7 @@ WIDTH, BITS, ROWS = 2048, 128, 32768
 RECALL, TRUSTED = 0.9, 0.9
 #: Prefix lengths are reported at so many counts a tree; depth of a tree that could not be searched to the end.
 GRAINS, UNSEARCHED = 16, 999
-#: Candidates a vector may bring from a tree beyond the best, being closer to them than half precision tells apart.
+#: Similar candidates a vector may meet in a tree; in a denser crowd the nearest are not told by prefixes. How far half precision may be off.
 MOST, HALF = 128, 1e-3
 #: Rows a side of a block product, its cells at a time, and how far a product in single precision may be off.
 BLOCK, CELLS, SLACK = 32768, 1 << 24, 1e-6
@@ -223,7 +223,7 @@ def _gather(dim: int, width: int, keep: int, floor: float):
             place = np.arange(len(i)) - begins
             kth = np.minimum(begins + keep - 1, np.searchsorted(i, i, "right") - 1)
             good = sim >= sim[kth] - 2 * HALF if len(i) else place > 0  # the best, and those half precision cannot tell from them
-            depth[i[good & (place >= MOST)]] = UNSEARCHED
+            depth[i[place >= MOST]] = UNSEARCHED
             good &= place < MOST
             out_a.append(num[i[good]])
             out_b.append(num[j[good]])
