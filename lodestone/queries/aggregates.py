@@ -349,10 +349,10 @@ def _mode(t: Tables):
     return params(t).join(t.memory.select("id", F.col("metadata.mode").alias("mode")), "id").select("id", _R6(learning.scale_by_mode(F.col("p"), F.col("mode"))).alias("v"))
 
 
-@query("num_flatten", f"WITH {_P} SELECT id, list_concat(list_concat(p[1:len(p) // 2], p[len(p) // 2 + 1:]), p) AS v FROM p")
+@query("num_flatten", f"WITH {_P} SELECT id, list_concat(list_concat(p[1:len(p) // 2], p[len(p) // 2 + 1:]), p[1:2]) AS v FROM p")
 def _flatten(t: Tables):
     p, half = F.col("p"), F.expr("size(p) div 2")
-    return params(t).select("id", learning.flatten_parts(F.array(F.slice(p, F.lit(1), half)), F.array(F.slice(p, half + 1, F.size(p) - half)), p).alias("v"))
+    return params(t).select("id", learning.flatten_parts(F.array(F.slice(p, F.lit(1), half)), F.array(F.slice(p, half + 1, F.size(p) - half)), F.slice(p, 1, 2)).alias("v"))
 
 
 @query("num_lora_apply", """WITH c AS (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings)
