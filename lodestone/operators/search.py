@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,23 +149,25 @@ def mmr(ranked: DataFrame, vectors: DataFrame, alpha: float = 0.7, lam: float =
     rows = ranked.where(F.col("rank") <= most).join(vectors.select("id", F.col("vector").cast("array<double>").alias("vector")), "id", "left")
     schema = f"qid {ranked.schema['qid'].dataType.simpleString()}, id {ranked.schema['id'].dataType.simpleString()}, score double, rank int, mmr_rank int"
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
-        n = len(pdf)
-        dim = max((len(v) for v in pdf["vector"] if v is not None), default=1)
-        x = np.array([v if v is not None and len(v) == dim else np.zeros(dim) for v in pdf["vector"]], dtype=np.float64)
+    def order(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("rank", "ascending")]).combine_chunks()
+        n, v = t.num_rows, t.column("vector").combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy()
+        dim = max(int(sizes.max()), 1) if n else 1
+        x, whole = np.zeros((n, dim)), sizes == dim  # a null or shorter vector has no direction
+        if whole.any():
+            x[whole] = v.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         length = np.linalg.norm(x, axis=1)
         unit = np.divide(x, length[:, None], out=np.zeros_like(x), where=length[:, None] > 0)
         sims = np.round(np.nan_to_num(unit @ unit.T), 9)
-        near, left, chosen = np.zeros(n), np.ones(n, bool), np.zeros(n, int)
+        score, near, left, chosen = t.column("score").to_numpy(), np.zeros(n), np.ones(n, bool), np.zeros(n, np.int32)
         for place in range(n):
-            value = np.where(left, np.round(alpha * pdf["score"].to_numpy() - lam * near, 12), -np.inf)
-            best = int(np.argmax(value))
+            best = int(np.argmax(np.where(left, np.round(alpha * score - lam * near, 12), -np.inf)))
             chosen[best], left[best] = place + 1, False
             near = np.maximum(near, sims[best])
-        return pdf.assign(mmr_rank=chosen.astype("int32"))[["qid", "id", "score", "rank", "mmr_rank"]]
+        return t.select(["qid", "id", "score", "rank"]).append_column("mmr_rank", pa.array(chosen))
 
-    return rows.groupBy("qid").applyInPandas(order, schema)
+    return rows.groupBy("qid").applyInArrow(order, schema)
 
 
 def index_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
